@@ -1,13 +1,15 @@
 """N-gram Jaccard join: sets in a trie, traversed with shared partial overlaps.
 
 1. Every text becomes a set of 64-bit shingle hashes in one global order (by hash). Texts with equal sets share a node.
-2. Sets that can link meet by signatures: sizes fall into classes of ratio 1 / threshold, so linked sets lie in the same
-   or the next class; for a class, two linked sets differ in at most H hashes, so of H + 2 segments of the hash range
-   two at least are equal, and one of those is not empty (sets with more than one empty segment emit empty ones too).
-   Signatures are combined in each task before the shuffle and give a forest of candidates, never pairs of a group.
+2. Sets that can link meet by signatures. In a class of sizes, a set of the class differs from one it links with in at
+   most d hashes, so of the first d + 1 non-empty segments of the hash range one is equal; each gives a signature.
+   Shingles that many texts hold are left out of the segments of sets that have enough others, so shared passages don't
+   tie unlike texts together. Signatures are combined in each task before the shuffle and give a forest of candidates,
+   never pairs of a group.
 3. The sets of a connected candidate group are put in a compressed trie. Each set is matched against the trie from the
    root; the overlap with a shared prefix is counted once for all sets below, and a subtree is left as soon as its
    sizes and the remaining lengths can't reach the threshold, or when all its sets are joined to the set already.
+   In a group, tokens are ordered from rare to frequent.
    Groups above ``GROUP`` shingles are cut into blocks, each two of which meet in one task.
 4. Links are whole-number tests, 100 * intersection >= percent * union; components are the smallest ids reachable.
 
@@ -33,6 +35,8 @@ GROUP = 1_500_000
 #: Signatures that a task combines at a time, and words whose hashes it keeps.
 COMBINE = 1_500_000
 WORDS = 400_000
+#: Texts sampled for popular shingles, how many of them hold one, and how many are broadcast at most (2 MB).
+SAMPLE, OFTEN, POPULAR = 10_000, 4, 1 << 18
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -79,40 +83,63 @@ def digest(sets: np.ndarray) -> int:
 
 
 class Classes:
-    """Size classes and their segments for a threshold in percent."""
+    """Size classes of ratio 2 and their segments, for a threshold in percent."""
 
     def __init__(self, percent: int):
-        self.starts, self.percent = [1], percent
-
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, size, "right")) - 1
-
-    def segments(self, c: int) -> int:
-        """Segments for pairs whose larger set is in class c: one more than can differ, and one to spare."""
-        while len(self.starts) < c + 2:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        most = self.starts[c + 1] - 1
-        differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-        return differ + 2 if differ else 0
-
-
-def signatures(sets: np.ndarray, classes: Classes) -> Iterator[np.ndarray]:
-    """Signatures of a set under its own class and the next."""
-    own = classes.of(len(sets))
-    weights = mix(sets ^ _B)
-    for c in (own, own + 1):
-        k = classes.segments(c)
-        if not k:
-            continue
+        self.percent = percent
+
+    def differ(self, sizes: int) -> int:
+        """Most hashes in which linked sets of this total size differ."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+    def schemes(self, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(class, segments, most, largest size) of each class that the larger set of a pair with a set of n may have;
+        ``most`` is the number of hashes in which such a pair can differ. Classes where only equal sets link are left out."""
+        c, furthest = n.bit_length(), n * 100 // self.percent
+        for k in (c, c + 1):
+            largest = (1 << k) - 1
+            if k == c or furthest > (1 << c) - 1:
+                most = self.differ(2 * largest)
+                own = self.differ(n + min(furthest, largest))
+                if own:
+                    yield k, most + 2 + most // 8, own, largest
+
+
+def _segments(sets: np.ndarray, c: int, k: int, most: int, salt: np.uint64) -> Iterator[np.ndarray]:
+    """Signatures of the first ``most + 1`` non-empty of k segments of sorted hashes; all, and those of the empty ones,
+    where there are fewer.
+
+    Of two linked sets take the one that stops first: at most ``most`` of its non-empty segments so far differ from the
+    other's, so one is equal, and the other set gives it too."""
+    c = np.uint64(c) ^ salt
+    if len(sets):
         seg = ((sets >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # keeps the order of the hashes
         first = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
-        sums = np.add.reduceat(weights, first)
-        yield mix(sums + mix(seg[first] * _A + np.uint64(c)))
-        if k - len(first) > 1:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[first])
-            yield mix(mix(empty * _A + np.uint64(c)) ^ _C)
+        sums = np.add.reduceat(mix(sets ^ _B), first)
+        seg = seg[first]
+        yield mix(sums + mix(seg * _A + c))[: most + 1]
+    else:
+        seg = np.empty(0, np.uint64)
+    if len(seg) <= most:
+        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg)
+        yield mix(mix(empty * _A + c) ^ _C)
+
+
+def signatures(sets: np.ndarray, classes: Classes, popular: np.ndarray) -> Iterator[np.ndarray]:
+    """Signatures of a set, such that linked unequal sets have one in common.
+
+    Linked sets differ in at most ``most`` hashes, so their numbers of rare (not popular) hashes do too: where both have
+    ``enough`` rare ones, segments of rare hashes meet; where one has fewer, the other has at most ``most`` more, and
+    segments of all hashes meet."""
+    n, rare = len(sets), sets
+    if len(popular):
+        rare = sets[popular[np.minimum(np.searchsorted(popular, sets), len(popular) - 1)] != sets]
+    for c, k, most, largest in classes.schemes(n):
+        enough = 3 * largest // 10
+        if len(rare) >= enough:
+            yield from _segments(rare, c, k, most, _A)
+        if len(rare) <= enough + most:
+            yield from _segments(sets, c, k, most, _B)
 
 
 def combine(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,11 +165,33 @@ def shingle_table(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     return df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long")
 
 
+def popular_hashes(df: DataFrame, text: str, n: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, by a sample of at most about ``SAMPLE`` texts: ``POPULAR`` at most.
+
+    Which they are changes only which signatures are used, never which sets link."""
+    texts = df.select(quoted(text).alias("text")).filter("text is not null")
+    total = texts.count()
+    if total > SAMPLE:
+        texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(n)), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                found, times = np.unique(np.concatenate([shingle(t) for t in part]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["h", "n"])
+
+    heavy = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = heavy.orderBy(F.desc("n"), "h").limit(POPULAR).select("h").toArrow()
+    return np.sort(rows["h"].to_numpy().view(np.uint64))
+
+
 def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
     """(a, b): a forest of candidate nodes; sets that link are connected in it."""
+    frequent = df.sparkSession.sparkContext.broadcast(popular_hashes(df, text, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, classes = Shingler(n), Classes(percent)
+        shingle, classes, popular = Shingler(n), Classes(percent), frequent.value
         sigs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         seen: set[int] = set()
@@ -166,7 +215,7 @@ def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     if not len(s) or (node := digest(s)) in seen:
                         continue
                     seen.add(node)
-                    for found in signatures(s, classes):
+                    for found in signatures(s, classes, popular):
                         sigs.append(found)
                         nodes.append(np.full(len(found), node, np.int64))
                         held += len(found)
@@ -182,15 +231,15 @@ def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
 
 
 class Trie:
-    """Compressed trie of sorted sets: node k covers the leaves lo[k] to hi[k] and the tokens of leaf lo[k] from its
-    parent's depth to depth[k]."""
+    """Compressed trie of sorted token lists: a node covers the leaves lo to hi and the tokens of leaf lo between two depths.
+    ``size`` are the sizes of the sets, which may hold more than the lists."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-        self.order, self.sets = order, [sets[k] for k in order]
-        self.size = np.array([len(s) for s in self.sets], np.int64)
-        lcp = [self.common(a, b) for a, b in zip(self.sets, self.sets[1:])]
-        self.root = self.node(0, len(sets), 0, lcp)
+    def __init__(self, lists: list[np.ndarray], size: np.ndarray):
+        self.order = sorted(range(len(lists)), key=lambda k: lists[k].astype(">u4").tobytes())
+        self.lists = [lists[k] for k in self.order]
+        self.size = size[self.order]
+        self.length = np.array([len(x) for x in self.lists], np.int64)
+        self.root = self.build([self.common(a, b) for a, b in zip(self.lists, self.lists[1:])])
 
     @staticmethod
     def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -198,75 +247,94 @@ class Trie:
         differ = a[:n] != b[:n]
         return int(differ.argmax()) if n and differ.any() else n
 
-    def node(self, lo: int, hi: int, above: int, lcp: list[int]) -> tuple:
-        """(lo, hi, from, to, smallest, largest, children), built without recursion on depth."""
+    def build(self, lcp: list[int]) -> tuple:
+        """(lo, hi, from, to, smallest size, longest list, children) of the root, without recursion on depth."""
         made: dict[tuple[int, int], tuple] = {}
-        stack = [(lo, hi, above, False)]
+        lcp = np.array(lcp, np.int64)
+        stack = [(0, len(self.lists), 0, False)]
         while stack:
             lo, hi, above, ready = stack.pop()
             if hi - lo == 1:
-                made[lo, hi] = (lo, hi, above, int(self.size[lo]), int(self.size[lo]), int(self.size[lo]), ())
+                made[lo, hi] = (lo, hi, above, int(self.length[lo]), int(self.size[lo]), int(self.length[lo]), ())
                 continue
-            to = min(lcp[lo : hi - 1])
-            cuts = [lo, *[k + 1 for k in range(lo, hi - 1) if lcp[k] == to], hi]
+            to = int(lcp[lo : hi - 1].min())
+            cuts = [lo, *(np.flatnonzero(lcp[lo : hi - 1] == to) + lo + 1).tolist(), hi]
             parts = list(zip(cuts, cuts[1:]))
             if ready:
-                sizes = self.size[lo:hi]
-                made[lo, hi] = (lo, hi, above, to, int(sizes.min()), int(sizes.max()), tuple(made.pop(p) for p in parts))
+                made[lo, hi] = (lo, hi, above, to, int(self.size[lo:hi].min()), int(self.length[lo:hi].max()), tuple(made.pop(p) for p in parts))
             else:
                 stack.append((lo, hi, above, True))
                 stack += [(a, b, to, False) for a, b in parts]
         return next(iter(made.values()))
 
-    def linked(self, x: np.ndarray, wanted: np.ndarray, percent: int) -> Iterator[int]:
-        """Leaves among ``wanted`` (a mask over leaves, read again after each answer) that link with x."""
-        n, chunk = len(x), 64
+    def linked(self, x: np.ndarray, n: int, wanted: np.ndarray, percent: int) -> Iterator[int]:
+        """Leaves among ``wanted`` (a mask over leaves, read again after each answer) that link with the list x of a set of n."""
         stack = [(self.root, 0)]
         while stack:
-            (lo, hi, at, to, small, large, children), overlap = stack.pop()
+            (lo, hi, at, to, small, longest, children), overlap = stack.pop()
             if not wanted[lo:hi].any():
                 continue
-            edge, alive = self.sets[lo], True
-            while alive:
+            edge, alive, chunk = self.lists[lo], True, 64
+            while alive and at < to:
                 step = edge[at : min(to, at + chunk)]
-                at += len(step)
-                if len(step):
-                    where = np.searchsorted(x, step)
-                    overlap += int((x[np.minimum(where, n - 1)] == step).sum())
-                    rest = n - int(np.searchsorted(x, step[-1], "right"))
-                else:
-                    rest = n
-                best = min(max(at + rest, small), large)  # the size that would fit best
-                alive = (100 + percent) * (overlap + min(rest, best - at)) >= percent * (n + best)
-                if at >= to:
-                    break
-                chunk = min(chunk * 2, 1024)
-            chunk = 64
+                at, chunk = at + len(step), min(chunk * 2, 1024)
+                where = np.searchsorted(x, step)
+                overlap += int((x[np.minimum(where, len(x) - 1)] == step).sum())
+                rest = len(x) - int(np.searchsorted(x, step[-1], "right"))
+                alive = (100 + percent) * (overlap + min(rest, longest - at)) >= percent * (n + small)
             if not alive:
                 continue
             if children:
                 stack += [(c, overlap) for c in reversed(children)]
-            elif (100 + percent) * overlap >= percent * (n + len(edge)):
+            elif (100 + percent) * overlap >= percent * (n + small):
                 yield lo
 
 
 def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The first set (index) of each set's connected part, by matching each set against the trie of all."""
-    trie = Trie(sets)
+    """The first set (index) of each set's connected part, by matching each set against the trie of all.
+
+    Tokens are ordered by how many of these sets hold them, then by hash. A token of one set alone is left out of its
+    list (it counts in the set's size, never in an overlap). Two sets that link share a token among the first
+    ``size - least overlap + 1`` of each, so only sets that do are looked for in the trie."""
     n = len(sets)
-    label = np.arange(n)
-    sizes = trie.size
-    for k, x in enumerate(trie.sets):
-        wanted = (label != label[k]) & (np.arange(n) > k) & (100 * sizes >= percent * len(x)) & (percent * sizes <= 100 * len(x))
+    size = np.array([len(s) for s in sets], np.int64)
+    tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, times))] = np.arange(len(tokens))
+    lone = int((times == 1).sum())  # ranks below are of one set
+    ends = np.cumsum(size)
+    whole = [np.sort(rank[inverse[e - k : e]]) for e, k in zip(ends, size)]
+    lists = [w[np.searchsorted(w, lone) :].astype(np.uint32) for w in whole]
+    trie = Trie(lists, size)
+    prefix = size - -(-size * percent // 100) + 1
+    heads = [lists[k][: max(0, prefix[k] - (size[k] - len(lists[k])))] for k in range(n)]
+    leaf = np.empty(n, np.int64)
+    leaf[trie.order] = np.arange(n)
+    owners = np.repeat(leaf, [len(h) for h in heads])
+    flat = np.concatenate(heads)
+    order = np.argsort(flat, kind="stable")
+    flat, owners = flat[order], owners[order]
+    label, place = np.arange(n), np.arange(n)
+    for k in range(n):
+        head = heads[trie.order[k]]
+        if not len(head):
+            continue
+        wanted = np.zeros(n, bool)
+        for a, b in zip(np.searchsorted(flat, head), np.searchsorted(flat, head, "right")):
+            wanted[owners[a:b]] = True
+        wanted &= (label != label[k]) & (place > k) & (100 * trie.size >= percent * trie.size[k]) & (percent * trie.size <= 100 * trie.size[k])
         if not wanted.any():
             continue
-        for leaf in trie.linked(x, wanted, percent):
-            if label[leaf] != label[k]:
-                old, new = max(label[leaf], label[k]), min(label[leaf], label[k])
+        for found in trie.linked(trie.lists[k], int(trie.size[k]), wanted, percent):
+            if label[found] != label[k]:
+                old, new = max(label[found], label[k]), min(label[found], label[k])
                 label[label == old] = new
                 wanted &= label != label[k]
+    # a part's name is its smallest index among the sets
+    least = np.full(n, n, np.int64)
+    np.minimum.at(least, label, np.array(trie.order))
     out = np.empty(n, np.int64)
-    out[trie.order] = np.array(trie.order)[label]
+    out[trie.order] = least[label]
     return out
 
 
