@@ -38,44 +38,62 @@ def fixed(df: DataFrame, text: str = "text", size: int = config.CHUNK_SIZE, over
     that of its first word, where words are set apart by spaces, tabs and line ends; a word that only other white space
     sets apart has none of its own, and the offset is 0 beyond the last."""
     step = fixed_step(size, overlap)
-    rows = df.withColumn("__w", tx.words(F.col(text)))
+    body = F.regexp_replace(F.col(text), r"^[ \t\n]+", "")
+    gap = r"[ \t\n]+"
+
+    def starts(bare: Column) -> Column:
+        """Offsets of every ``step``-th word: running sums of block lengths, words and the gaps after them."""
+        zipped = F.arrays_zip(F.filter(F.split(bare, gap), lambda w: w != "").alias("w"), F.regexp_extract_all(bare, F.lit(gap), F.lit(0)).alias("s"))
+        each = F.transform(zipped, lambda x: F.length(F.coalesce(x.w, F.lit(""))) + F.length(F.coalesce(x.s, F.lit(""))))
+
+        def blocks(p: Column) -> Column:
+            return F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / step).cast("int")), lambda k: F.aggregate(F.slice(p, k * step + 1, F.lit(step)), F.lit(0), lambda t, x: t + x)))
+
+        return let(each, blocks)
+
+    def windows(w: Column, lead: Column, known: Column) -> Column:
+        def window(k: Column) -> Column:
+            shown = F.array_join(F.slice(w, k * step + 1, F.lit(size)), " ")
+            start = F.lit(None).cast("int")
+            if offsets:
+                start = F.when(k < F.size(known), lead + F.aggregate(F.slice(known, F.lit(1), k), F.lit(0), lambda t, x: t + x)).otherwise(0)
+            return F.struct(k.cast("int").alias("chunk_index"), shown.alias("text"), start.cast("int").alias("char_start"))
+
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / step).cast("int")), window))
+
     if offsets:
-        gap = r"[ \t\n]+"
-        body = F.regexp_replace(F.col(text), r"^[ \t\n]+", "")
-        parts = F.transform(F.arrays_zip(F.split(body, gap).alias("w"), F.regexp_extract_all(body, F.lit(gap), F.lit(0)).alias("s")), lambda x: F.length(x.w) + F.coalesce(F.length(x.s), F.lit(0)))
-        rows = rows.withColumn("__lead", F.length(text) - F.length(body)).withColumn("__p", parts)
-        n_known = F.size(F.filter(F.split(body, gap), lambda w: w != ""))
-        rows = rows.withColumn("__known", n_known)
-        blocks = F.when(F.size("__p") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("__p") - 1) / step).cast("int")), lambda k: F.aggregate(F.slice("__p", k * step + 1, F.lit(step)), F.lit(0), lambda a, x: a + x)))
-        rows = rows.withColumn("__b", blocks).drop("__p")
-    n = F.size("__w")
-
-    def window(k: Column) -> Column:
-        body = F.array_join(F.slice("__w", k * step + 1, F.lit(size)), " ")
-        start = F.lit(None).cast("int")
-        if offsets:
-            start = F.when(k * step < F.col("__known"), F.col("__lead") + F.aggregate(F.slice("__b", F.lit(1), k), F.lit(0), lambda a, x: a + x)).otherwise(0)
-        return F.struct(k.cast("int").alias("chunk_index"), body.alias("text"), start.alias("char_start"), (start + F.length(body)).alias("char_end"))
-
-    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), window))
-    out = _exploded(rows.withColumn("__made", made).drop("__w", *(["__b", "__lead", "__known"] if offsets else [])), F.col("__made"), text, pages).drop("__made")
+        made = let(body, lambda bare: let(F.struct(tx.words(F.col(text)).alias("w"), (F.length(text) - F.length(bare)).alias("lead"), starts(bare).alias("b")), lambda v: windows(v.w, v.lead, v.b)))
+    else:
+        made = let(tx.words(F.col(text)), lambda w: windows(w, F.lit(0), F.array()))
+    ended = F.transform(made, lambda c: F.struct(c.chunk_index, c.text, c.char_start, (c.char_start + F.length(c.text)).cast("int").alias("char_end")))
+    out = _exploded(df, ended.cast(f"array<{CHUNK}>"), text, pages)
     return out if offsets else out.drop("char_start", "char_end")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda variable, where the optimizer would copy a column's expression into
+    every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 # --- recursive -------------------------------------------------------------------------------------------------------
 
 
+def _cut(pattern: str, size: int):
+    """The parts of a piece that is too long, stripped and not blank; else the piece as it is."""
+
+    def cut(p: Column) -> Column:
+        parts = F.filter(F.transform(F.split(p, pattern), tx.strip), lambda x: x != "")
+        return F.when(tx.estimate_tokens(p) <= size, F.array(p)).otherwise(parts)
+
+    return cut
+
+
 def recursive_pieces(text: Column, size: int, separators: tuple[str, ...] = config.SEPARATORS) -> Column:
     """Pieces of at most ``size`` tokens as far as the separators go; one level of splitting for each separator."""
     pieces = F.array(text)
     for sep in separators:
-        pattern = r"\Q" + sep + r"\E"
-
-        def cut(p: Column, pattern: str = pattern) -> Column:
-            parts = F.filter(F.transform(F.split(p, pattern), tx.strip), lambda x: x != "")
-            return F.when(tx.estimate_tokens(p) <= size, F.array(p)).otherwise(parts)
-
-        pieces = F.flatten(F.transform(pieces, cut))
+        pieces = F.flatten(F.transform(pieces, _cut(r"\Q" + sep + r"\E", size)))
     return pieces
 
 

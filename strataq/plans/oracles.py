@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(string_split_regex({0}, '\s+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"
 _TOKENS = "greatest(1, length({0}) // 4)::INT"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _PREVIEW = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1}) || '...' ELSE {0} END"
@@ -21,8 +21,8 @@ offsets_ AS (SELECT *, (coalesce(sum(length(text) + 1) OVER (PARTITION BY docume
 pg AS (SELECT *, (char_start + length(text))::INT AS char_end FROM offsets_)"""
 
 OFFSETS = FIXED + "," + LINES + r""",
-gaps AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n]+'), x -> x <> '') AS gw, regexp_extract_all(regexp_replace(text, '^[ \t\n]+', ''), '[ \t\n]+') AS gs, length(text) - length(regexp_replace(text, '^[ \t\n]+', '')) AS lead FROM documents),
-placed AS (SELECT c.doc_id, c.chunk_index, c.text, CASE WHEN c.st < len(g.gw) THEN g.lead + coalesce(list_sum(list_transform(g.gw[1:c.st], x -> length(x))), 0) + coalesce(list_sum(list_transform(g.gs[1:c.st], x -> length(x))), 0) ELSE 0 END::INT AS char_start FROM chunks c JOIN gaps g USING (doc_id)),
+gaps AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n]+'), lambda x: x <> '') AS gw, regexp_extract_all(regexp_replace(text, '^[ \t\n]+', ''), '[ \t\n]+') AS gs, length(text) - length(regexp_replace(text, '^[ \t\n]+', '')) AS lead FROM documents),
+placed AS (SELECT c.doc_id, c.chunk_index, c.text, CASE WHEN c.st < len(g.gw) THEN g.lead + coalesce(list_sum(list_transform(g.gw[1:c.st], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g.gs[1:c.st], lambda x: length(x))), 0) ELSE 0 END::INT AS char_start FROM chunks c JOIN gaps g USING (doc_id)),
 spans AS (SELECT *, (char_start + length(text))::INT AS char_end FROM placed),
 ends AS (SELECT document_id, max(page_number) AS last_page FROM pg GROUP BY 1),
 on_pages AS (SELECT s.*, coalesce((SELECT min(p.page_number) FROM pg p WHERE p.document_id = s.doc_id AND s.char_start BETWEEN p.char_start AND p.char_end), e.last_page)::INT AS page_start,
@@ -58,7 +58,7 @@ def _clean(x: str) -> str:
 
 def _title(x: str) -> str:
     parts = f"regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+')"
-    return f"array_to_string(list_transform({parts}, w -> upper(w[1:1]) || lower(w[2:])), '')"
+    return f"array_to_string(list_transform({parts}, lambda w: upper(w[1:1]) || lower(w[2:])), '')"
 
 
 _STEM = r"regexp_replace(string_split({0}, '/')[-1], '(.)\.[^.]*$', '\1')"
@@ -101,11 +101,11 @@ SELECT document_id, chunk_id, round(similarity, 4) AS similarity, coalesce(sum((
 g AS (SELECT *, (pos // 2)::INT AS group_id, {_TOKENS.format('t')} AS tok FROM r), z AS (SELECT *, sum(tok) OVER (PARTITION BY doc_id, group_id) AS size, row_number() OVER (PARTITION BY doc_id, group_id ORDER BY pos) AS k FROM g)
 SELECT doc_id, pos, group_id, (sum((k = 1 AND size >= 100 AND group_id > 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS merged_id FROM z""",
         "clean_text": f"SELECT page_id, {_clean('html')} AS cleaned FROM pages",
-        "clean_ocr_lines": f"""WITH x AS (SELECT page_id, list_transform(string_split(html, chr(10)), s -> {_STRIP.format('s')}) AS ls FROM pages),
-y AS (SELECT page_id, array_to_string(list_transform(list_filter(ls, s -> s = '' OR length(s) > 1 OR regexp_matches(s, '^[\\p{{L}}\\p{{N}}]$')), s -> regexp_replace(regexp_replace(s, '\\|{{3,}}', '', 'g'), '\\s{{3,}}', '  ', 'g')), chr(10)) AS t FROM x)
+        "clean_ocr_lines": f"""WITH x AS (SELECT page_id, list_transform(string_split(html, chr(10)), lambda s: {_STRIP.format('s')}) AS ls FROM pages),
+y AS (SELECT page_id, array_to_string(list_transform(list_filter(ls, lambda s: s = '' OR length(s) > 1 OR regexp_matches(s, '^[\\p{{L}}\\p{{N}}]$')), lambda s: regexp_replace(regexp_replace(s, '\\|{{3,}}', '', 'g'), '\\s{{3,}}', '  ', 'g')), chr(10)) AS t FROM x)
 SELECT page_id, {_clean('t')} AS cleaned FROM y""",
-        "table_text": f"""WITH r AS (SELECT doc_id, list_transform(string_split(text, chr(10)), x -> list_transform(string_split(x, ' | '), c -> {_STRIP.format('c')})) AS rows_ FROM documents WHERE contains(text, ' | '))
-SELECT doc_id, array_to_string(list_transform(list_filter(rows_, r -> len(list_filter(r, c -> c <> '')) > 0), r -> '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS table_text FROM r""",
+        "table_text": f"""WITH r AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: list_transform(string_split(x, ' | '), lambda c: {_STRIP.format('c')})) AS rows_ FROM documents WHERE contains(text, ' | '))
+SELECT doc_id, array_to_string(list_transform(list_filter(rows_, lambda r: len(list_filter(r, lambda c: c <> '')) > 0), lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS table_text FROM r""",
         "text_measures": f"SELECT doc_id, len({_WORDS.format('text')})::INT AS word_count, {_TOKENS.format('text')} AS token_count, {_PREVIEW.format('text', 120)} AS preview, length({_STRIP.format('text')}) < 50 AS needs_ocr FROM documents",
         "repeated_lines": f"""WITH p AS (SELECT source || '/' || (doc_id % 7) AS document_id, doc_id, regexp_replace(text, '[A-Za-z ]{{30,}}', 'line', 'g') AS text FROM documents),
 x AS (SELECT DISTINCT document_id, doc_id, unnest(string_split(text, chr(10))) AS raw FROM p), c AS (SELECT document_id, {_STRIP.format('raw')} AS line, count(*) AS n FROM x GROUP BY 1, 2),
@@ -115,7 +115,7 @@ SELECT document_id, line, n, n_pages FROM c JOIN t USING (document_id) WHERE lin
 x AS (SELECT DISTINCT document_id, page_number, unnest(string_split(text, chr(10))) AS raw FROM p), c AS (SELECT document_id, {_STRIP.format('raw')} AS line, count(*) AS n FROM x GROUP BY 1, 2),
 t AS (SELECT document_id, count(*) AS n_pages FROM p GROUP BY 1),
 rep AS (SELECT document_id, list(line) AS lines FROM c JOIN t USING (document_id) WHERE line <> '' AND length(line) < 80 AND n >= greatest(2, n_pages * 0.4) AND n_pages > 2 GROUP BY 1)
-SELECT document_id, page_number, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), s -> NOT list_contains(lines, {_STRIP.format('s')})), chr(10)) END AS text FROM p LEFT JOIN rep USING (document_id)""",
+SELECT document_id, page_number, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT list_contains(lines, {_STRIP.format('s')})), chr(10)) END AS text FROM p LEFT JOIN rep USING (document_id)""",
         "page_offsets": f"WITH {LINES} SELECT document_id, page_number, char_start, char_end, len({_WORDS.format('text')})::INT AS word_count, length({_STRIP.format('text')}) < 50 AS is_empty FROM pg",
         "page_offsets_exact": f"""WITH {LINES} SELECT document_id, page_number, s AS char_start, (s + length(text))::INT AS char_end FROM (SELECT *, coalesce(sum(CASE WHEN {_STRIP.format('text')} <> '' THEN length(text) + 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s FROM pages_)""",
         "page_assembly": f"""WITH {LINES}, g AS (SELECT document_id, coalesce(string_agg(text, chr(10) ORDER BY page_number) FILTER ({_STRIP.format('text')} <> ''), '') AS full_text, count(*)::INT AS page_count,
@@ -143,7 +143,7 @@ SELECT w.document_id, position, coalesce(min(p.page_number), min(last_page))::IN
         "rerank_fallback": f"WITH {CANDIDATES} {_take('rerank_score', 'blend')}",
         "rerank_minmax": f"WITH {CANDIDATES}, m AS (SELECT *, (chunk_id % 7)::DOUBLE AS raw FROM cand), z AS (SELECT *, round((raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w > min(raw) OVER w THEN max(raw) OVER w - min(raw) OVER w ELSE 1 END, 4) AS rerank_score FROM m WINDOW w AS (PARTITION BY query_id)) {_take('rerank_score', 'z')}",
         "rerank_listwise": f"WITH {CANDIDATES}, z AS (SELECT *, coalesce(([0.3, 0.95, 1.0, 0.025, 0.7])[row_number() OVER (PARTITION BY query_id ORDER BY rank)], 0)::DOUBLE AS rerank_score FROM cand) {_take('rerank_score', 'z')}",
-        "parse_listwise_scores": r"WITH x AS (SELECT event_id, list_transform(regexp_extract_all(props, '\d+(?:\.\d+)?'), s -> round(least(greatest(s::DOUBLE, 0), 10) / 10, 4)) AS s FROM events) SELECT event_id, array_to_string(list_transform(list_concat(s, [0.0, 0.0, 0.0, 0.0]::DOUBLE[])[1:4], v -> printf('%.4f', v)), ',') AS scores FROM x",
+        "parse_listwise_scores": r"WITH x AS (SELECT event_id, list_transform(regexp_extract_all(props, '\d+(?:\.\d+)?'), lambda s: round(least(greatest(s::DOUBLE, 0), 10) / 10, 4)) AS s FROM events) SELECT event_id, array_to_string(list_transform(list_concat(s, [0.0, 0.0, 0.0, 0.0]::DOUBLE[])[1:4], lambda v: printf('%.4f', v)), ',') AS scores FROM x",
         "context_budget": f"WITH {_BUDGET} SELECT query_id, n, length(shown)::INT AS shown_chars, right(shown, 40) AS ends FROM b WHERE shown IS NOT NULL",
         "context_block": f"""WITH {_BUDGET}, x AS (SELECT query_id, n, shown, {_HEADER.format('n', "'Doc ' || doc_id", _LABEL.format('n', '(n + n % 2)', '-'), '1.0::DOUBLE / n')} AS header FROM b WHERE shown IS NOT NULL)
 SELECT query_id, string_agg(repeat('─', 50) || chr(10) || header || chr(10) || repeat('─', 50) || chr(10) || shown, chr(10) || chr(10) ORDER BY n) AS context FROM x GROUP BY 1""",
