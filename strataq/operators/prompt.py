@@ -22,9 +22,19 @@ def label(n: Column) -> Column:
     return F.concat(F.lit("[Source "), n.cast("string"), F.lit("]"))
 
 
+def two_places(c: Column) -> Column:
+    """A number with two decimals, rounded as its binary value has it (format_string rounds its shortest decimal form up). The
+    distance to the nearest tie is exact: the number is split in halves whose products don't round."""
+    high = c * 134217729.0 - (c * 134217729.0 - c)
+    k = F.floor(c * 100)
+    off = (high * 200 - (2 * k + 1)) + (c - high) * 200
+    up = (off > 0) | ((off == 0) & (k % 2 != 0))
+    return F.format_string("%.2f", (k + F.when(up, 1).otherwise(0)) / 100.0)
+
+
 def header(n: Column, title: Column, start: Column, end: Column, score: Column) -> Column:
     """``[Source n] title - page (relevance: 0.00)``."""
-    return F.concat(label(n), F.lit(" "), title, F.lit(" - "), tx.page_label(start, end), F.lit(" (relevance: "), F.format_string("%.2f", score), F.lit(")"))
+    return F.concat(label(n), F.lit(" "), title, F.lit(" - "), tx.page_label(start, end), F.lit(" (relevance: "), two_places(score), F.lit(")"))
 
 
 def source_label(title: Column, start: Column, end: Column) -> Column:

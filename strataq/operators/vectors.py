@@ -74,12 +74,14 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_
     ``block`` (its size is counted first), each task multiplies them with Arrow batches and keeps its best k of each query,
     and only those are shuffled to the final rank."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark, parts = vectors.sparkSession, []
     total = queries.count()
     if total > 1 << 16:
         raise ValueError("more than 65,536 queries; split them")
     rows = queries.select(query_id, query).collect()
+    exact = [to_arrow_type(vectors.schema[key].dataType), to_arrow_type(queries.schema[query_id].dataType)]
     kinds = (vectors.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString())
     for at in range(0, len(rows), block):
         part = rows[at : at + block]
@@ -101,7 +103,7 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_
                     best[j] += [(-row[i], keys[i]) for i in (np.argpartition(-row, k - 1)[:k] if len(row) > k else range(len(row)))]
                     best[j] = sorted(best[j])[:k]
             found = [(ids[j], y[1], -y[0]) for j, x in enumerate(best) for y in x]
-            yield pa.RecordBatch.from_pydict({"q": [f[0] for f in found], "key": [f[1] for f in found], "cos": pa.array([float(f[2]) for f in found], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"q": pa.array([f[0] for f in found], exact[1]), "key": pa.array([f[1] for f in found], exact[0]), "cos": pa.array([float(f[2]) for f in found], pa.float64())})
 
         parts.append(vectors.select(key, embedding).mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, cos double"))
     out = parts[0] if parts else spark.createDataFrame([], f"q {kinds[1]}, key {kinds[0]}, cos double")
