@@ -54,6 +54,8 @@ _TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-<>+~().\[\]|,]))")
 _FILTERS: dict[str, Callable] = {"escape": escape, "upper": str.upper, "lower": str.lower, "trim": str.strip, "length": len, "default": lambda v, d="": d if v is None else v}
 _CONSTANT = {"true": True, "false": False, "none": None}
+#: The test of an else arm.
+_ELSE = ("const", True)
 _WORDS = {"and", "or", "not", "in"}
 
 
@@ -195,10 +197,10 @@ def _tag(tag: str, stack: list) -> None:
         stack.append(("if", [[_Expr(rest).whole(), None]], []))
     elif word in ("elif", "else"):
         kind, arms, body = stack.pop()
-        if kind != "if" or arms[-1][0] == ("const", True):
+        if kind != "if" or arms[-1][0] is _ELSE:
             raise TemplateError(f"{word} without if")
         arms[-1][1] = ("block", *body)
-        arms.append([_Expr(rest).whole() if word == "elif" else ("const", True), None])
+        arms.append([_Expr(rest).whole() if word == "elif" else _ELSE, None])
         stack.append(("if", arms, []))
     elif word == "set":
         name, _, value = rest.partition("=")
