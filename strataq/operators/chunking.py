@@ -98,12 +98,15 @@ def recursive_pieces(text: Column, size: int, separators: tuple[str, ...] = conf
 
 
 def merge_pieces(pieces: Column, size: int, overlap: int) -> Column:
-    """Chunks of whole pieces up to ``size`` tokens; each begins with the last ``overlap`` words of the one before."""
+    """Chunks of whole pieces up to ``size`` tokens; each begins with the last ``overlap`` words of the one before
+    (none where it is 0)."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
 
     def tail(text: Column) -> Column:
+        if not overlap:
+            return F.lit("")
         words = tx.words(text)
-        return F.when(F.size(words) > overlap, F.array_join(F.slice(words, -overlap, F.lit(overlap)), " ") if overlap else F.array_join(words, " ")).otherwise(text)
+        return F.when(F.size(words) > overlap, F.array_join(F.slice(words, -overlap, F.lit(overlap)), " ")).otherwise(text)
 
     def add(s: Column, p: Column) -> Column:
         n = tx.estimate_tokens(p)
