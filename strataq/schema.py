@@ -9,8 +9,32 @@ from pyspark.sql import types as T
 from . import config
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "smallint": T.ShortType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _parts(text: str) -> list[str]:
+    """What stands between commas outside angle brackets."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(n, _type(t)) for n, _, t in (x.partition(":") for x in _parts(text[7:-1]))])
+    return _TYPES[text]
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type`` pairs, without a session."""
+    return T.StructType([T.StructField(n, _type(t)) for n, _, t in (x.partition(" ") for x in _parts(text))])
 
 
 DOCUMENTS = _schema(
