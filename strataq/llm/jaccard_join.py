@@ -10,7 +10,8 @@
    root; the overlap with a shared prefix is counted once for all sets below, and a subtree is left as soon as its
    sizes and the remaining lengths can't reach the threshold, or when all its sets are joined to the set already.
    In a group, tokens are ordered from rare to frequent.
-   Groups above ``GROUP`` shingles are cut into blocks, each two of which meet in one task.
+   Groups above ``GROUP`` shingles are first parted by the rare shingles that their sets share; what is still above is cut
+   into blocks, each two of which meet in one task.
 4. Links are whole-number tests, 100 * intersection >= percent * union; components are the smallest ids reachable.
 
 Defined cases: A-Z is lower-cased and words are runs of other bytes than 09-0D and 20; a text with fewer words than a
@@ -373,20 +374,60 @@ def join_groups(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long")
 
 
+def group_blocks(members: DataFrame) -> DataFrame:
+    """(comp, n_blocks) of candidate groups; two blocks or fewer fit in one task."""
+    return members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / GROUP)).cast("int").alias("n_blocks"))
+
+
+def shared_prefixes(texts: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): a finer forest of candidates among the nodes of large groups.
+
+    Over these nodes shingles are ordered from rare to frequent. Linked sets share one among the first
+    ``size - least overlap + 1`` of each, so nodes with as many shingles of their own link with nothing and go, and the others
+    are tied by the shared shingles of those first ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            nodes, at = batch.column(0).to_pylist(), 0
+            for part in slices(batch.column(1)):
+                for text in part:
+                    s = shingle(text)
+                    if len(s) and digest(s) == nodes[at]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), nodes[at], np.int64)), pa.array(s.view(np.int64))], ["node", "token"])
+                    at += 1
+
+    met = texts.join(large.select(F.col("rep").alias("doc_id"), "node").hint("shuffle_hash"), "doc_id").select("node", "text")
+    tokens = met.mapInArrow(run, "node long, token long")
+    shared = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("l"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("l"))
+    heads = lists.join(large.select("node", "n"), "node").filter(first > 0)
+    rows = heads.select("node", F.explode(F.slice("l", F.lit(1), first.cast("int"))).alias("x")).select("node", F.col("x.token").alias("token"))
+    least = F.first("node").over(Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("b", least).filter("b <> node").select(F.col("node").alias("a"), "b").distinct()
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id. A pair links when 100 * |intersection| >= percent * |union|."""
     table, _ = store(shingle_table(df, doc_id, text, n))
     known = table.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     comps = components(candidates(df, doc_id, text, n, percent)).withColumnRenamed("component", "comp")
+    texts = df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     members, _ = store(comps.join(nodes, "node"))
-    blocks = members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / GROUP)).cast("int").alias("n_blocks"))
+    blocks = group_blocks(members)
+    if blocks.filter("n_blocks > 2").limit(1).count():
+        large = members.join(blocks.filter("n_blocks > 2").select("comp"), "comp", "left_semi")
+        finer = components(shared_prefixes(texts, large, n, percent)).withColumnRenamed("component", "comp")
+        rest = members.join(blocks.filter("n_blocks > 2").select("comp"), "comp", "left_anti")
+        members, _ = store(rest.select("node", "comp", "rep", "n").unionByName(large.drop("comp").join(finer, "node").select("node", "comp", "rep", "n")))
+        blocks = group_blocks(members)
     dealt = members.join(blocks, "comp").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     other = F.when(F.col("n_blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: k != F.col("mine")))
     dealt = dealt.withColumn("other", F.explode(other))
     few = F.col("n_blocks") <= 2
     dealt = dealt.select("node", F.col("rep").alias("doc_id"), "comp", F.when(few, 0).otherwise(F.least("mine", "other")).alias("i"), F.when(few, 0).otherwise(F.greatest("mine", "other")).alias("j"))
-    texts = df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     joined = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("comp", "i", "j", "doc_id", "node", "text")
     links = join_groups(joined.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), n, percent)
     final = components(links).select(F.col("node").alias("rep"), F.col("component"))
