@@ -383,7 +383,7 @@ def document_stats(spark, d):
 
 
 def document_list(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 1024).alias("file_size_kb"), "source").orderBy(F.desc("id")).limit(50)
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 1024).alias("file_size_kb"), "source").orderBy(F.desc("id"))
 
 
 def document_detail(spark, d):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataq.plans import api, jobs
+from strataq.plans import api, catalog, jobs
 from strataq.schema import CHUNKS, DOCUMENTS, VECTORS, duplicate_keys, violations
 
 from .test_retrieval_and_ingest import make_pdf
@@ -42,3 +42,10 @@ def test_ingest_index_search(spark, tmp_path):
         api.index_document(documents.withColumn("status", F.lit("failed")), chunks, v, one)
     q = spark.createDataFrame([(1, "s", "green tea")], "query_id int, session_id string, question string")
     assert api.chat(q, v, k=99).first().sources[0].doc_title == "Tea Notes"
+
+
+def test_document_list_query_has_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars", "source").collect()
+    got = [(r.id, r.file_size_kb, r.source) for r in catalog.document_list(spark, d).collect()]
+    assert len(got) > 50 and got == sorted(((r.doc_id, r.n_chars // 1024, r.source) for r in docs), reverse=True)
