@@ -27,12 +27,15 @@ def _exploded(df: DataFrame, chunks: Column, text: str, pages: str | None) -> Da
     return out
 
 
-def fixed_step(size: int, overlap: int) -> int:
+def fixed_step(size: int | Column, overlap: int | Column) -> int | Column:
+    if isinstance(size, Column) or isinstance(overlap, Column):
+        return F.greatest(F.lit(1), F.lit(size) - F.least(F.lit(overlap), F.floor(F.lit(size) / 2).cast("int")))
     return max(1, size - min(overlap, size // 2))
 
 
-def fixed(df: DataFrame, text: str = "text", size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP, pages: str | None = None, offsets: bool = True) -> DataFrame:
-    """Windows of ``size`` words that start every ``size - overlap`` words; a text without words gives none.
+def fixed(df: DataFrame, text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP, pages: str | None = None, offsets: bool = True) -> DataFrame:
+    """Windows of ``size`` words that start every ``size - overlap`` words (numbers, or int columns with a row's own); a text
+    without words gives none.
 
     Native, and a window is made before rows are exploded, so a row never carries its whole text. A window's offset is
     that of its first word, where words are set apart by spaces, tabs and line ends; a word that only other white space
@@ -212,11 +215,15 @@ class Words:
         return self.spans[begin][0], self.spans[end][1]
 
 
-def recursive(df: DataFrame, text: str = "text", size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP, separators: tuple[str, ...] = config.SEPARATORS, pages: str | None = None, engine: str = "arrow", offsets: str = "search") -> DataFrame:
+def recursive(df: DataFrame, text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP, separators: tuple[str, ...] = config.SEPARATORS, pages: str | None = None, engine: str = "arrow", offsets: str = "search") -> DataFrame:
     """Chunks of separator-bounded pieces. ``engine`` is ``arrow`` (an Arrow UDF, several times faster for this order-dependent
     fold) or ``native`` (higher-order functions); both give the same rows. ``offsets`` is ``search`` (a cursor search, which misses
-    where joining changed the white space) or ``exact`` (Arrow only)."""
-    overlap = min(overlap, size // 4)
+    where joining changed the white space) or ``exact`` (Arrow only). ``size`` and ``overlap`` are numbers, or int columns with a
+    row's own (Arrow only)."""
+    own = isinstance(size, Column) or isinstance(overlap, Column)
+    if own and engine == "native":
+        raise ValueError("sizes by row need the arrow engine")
+    overlap = F.least(F.lit(overlap), F.floor(F.lit(size) / 4).cast("int")) if own else min(overlap, size // 4)
     if engine == "native":
         pieces = recursive_pieces(F.col(text), size, separators)
         rows = df.withColumn("__m", merge_pieces(pieces, size, overlap)).withColumn("__made", place_chunks(F.col(text), F.col("__m"))).drop("__m")
@@ -228,7 +235,13 @@ def recursive(df: DataFrame, text: str = "text", size: int = config.CHUNK_SIZE,
         for batch in batches:
             yield pa.array([splitter.placed(t or "", offsets == "exact") for t in batch.to_pylist()], kind)
 
-    return _exploded(df.withColumn("__made", F.arrow_udf(run, f"array<{CHUNK}>")(F.col(text))), F.col("__made"), text, pages).drop("__made")
+    def run_own(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns))
+            yield pa.array([RecursiveSplitter(n, o, tuple(separators)).placed(t or "", offsets == "exact") for t, n, o in rows], kind)
+
+    made = F.arrow_udf(run_own, f"array<{CHUNK}>")(F.col(text), F.lit(size), overlap) if own else F.arrow_udf(run, f"array<{CHUNK}>")(F.col(text))
+    return _exploded(df.withColumn("__made", made), F.col("__made"), text, pages).drop("__made")
 
 
 # --- sentences and semantic groups -----------------------------------------------------------------------------------
@@ -307,8 +320,9 @@ def semantic(df: DataFrame, embed, doc: str, text: str = "text", threshold: floa
     return _exploded(joined.withColumn("__made", F.aggregate("__g", start, add, lambda s: s.out)).drop("__g"), F.col("__made"), text, pages).drop("__made")
 
 
-def by_strategy(df: DataFrame, embed, doc: str, strategy: str = "chunk_strategy", text: str = "text", size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of each document by its own strategy; an unknown one is recursive."""
+def by_strategy(df: DataFrame, embed, doc: str, strategy: str = "chunk_strategy", text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of each document by its own strategy (and, where they are columns, size and overlap); an unknown strategy is
+    recursive, and semantic groups have no size."""
     own = F.lower(F.coalesce(F.col(strategy), F.lit("recursive")))
     columns = [doc, strategy, "chunk_index", "text", "char_start", "char_end", "token_count"]
     rest = df.filter(~own.isin("fixed", "semantic"))

@@ -36,16 +36,18 @@ def next_status(status: Column, has_text: Column, n_chunks: Column, error: Colum
 
 
 def run_pipeline(documents: DataFrame, page_rows: DataFrame, at: Column, embedder: Callable = HashEmbedder) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) after extraction and chunking of all documents that aren't ready. ``page_rows`` has document_id,
+    """(documents, chunks) after extraction and chunking of all documents that aren't ready, each by its own strategy, size and
+    overlap (the defaults where they are null). ``page_rows`` has document_id,
     page_number, text and (optional) ocr_used and error. Errors are columns of their document, not of the job."""
     open_ = documents.filter("status <> 'ready'")
     errors = page_rows.filter("error is not null") if "error" in page_rows.columns else None
     good = page_rows.filter("page_number is not null").join(open_.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     tidy = pg.offsets(pg.strip_repeated(good), skip_blank=True)
     full = pg.assemble(tidy).join(pg.page_array(tidy), "document_id")
-    todo = full.join(open_.select(F.col("id").alias("document_id"), "chunk_strategy"), "document_id").filter("has_text")
-    todo = todo.select("document_id", "chunk_strategy", F.col("full_text").alias("text"), "pages")
-    made = chunking.long_enough(chunking.by_strategy(todo, lambda c: embed(c, embedder), "document_id"))
+    own = {"chunk_size": F.coalesce(F.col("chunk_size"), F.lit(config.CHUNK_SIZE)).cast("int"), "chunk_overlap": F.coalesce(F.col("chunk_overlap"), F.lit(config.CHUNK_OVERLAP)).cast("int")}
+    todo = full.join(open_.select(F.col("id").alias("document_id"), "chunk_strategy", *[v.alias(k) for k, v in own.items()]), "document_id").filter("has_text")
+    todo = todo.select("document_id", "chunk_strategy", *own, F.col("full_text").alias("text"), "pages")
+    made = chunking.long_enough(chunking.by_strategy(todo, lambda c: embed(c, embedder), "document_id", size=F.col("chunk_size"), overlap=F.col("chunk_overlap")))
     placed = made.join(todo.select("document_id", "pages"), "document_id")
     chunks = placed.select("document_id", "text", "token_count", "chunk_index", pg.page_of(F.col("char_start"), F.col("pages")).alias("page_start"), pg.page_of(F.col("char_end"), F.col("pages")).alias("page_end"), "char_start", "char_end", chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), F.lit(None).cast("string").alias("embedding_model"), F.lit(False).alias("is_embedded"), F.lit(None).cast("timestamp").alias("embedded_at"))
     counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("__n"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strataq.operators import chunking, ingest, pages
 from strataq.plans import api, catalog, jobs
 from strataq.schema import CHUNKS, DOCUMENTS, VECTORS, duplicate_keys, violations
 
@@ -49,3 +50,28 @@ def test_document_list_query_has_all_documents(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars", "source").collect()
     got = [(r.id, r.file_size_kb, r.source) for r in catalog.document_list(spark, d).collect()]
     assert len(got) > 50 and got == sorted(((r.doc_id, r.n_chars // 1024, r.source) for r in docs), reverse=True)
+
+
+def test_rechunk_takes_the_documents_own_size_and_overlap(spark):
+    words = [f"w{k}" + (";" if k % 9 == 0 else "") for k in range(900)]
+    text = " ".join(words)
+    docs = [(k, strategy, size, overlap) for k, strategy, size, overlap in (("a", "fixed", 512, 64), ("b", "recursive", 100, 10), ("c", "recursive", None, None))]
+    rows = [{"id": k, "title": k, "chunk_strategy": s, "chunk_size": n, "chunk_overlap": o, "status": "pending"} for k, s, n, o in docs]
+    documents = spark.createDataFrame(rows, DOCUMENTS)
+    page_rows = spark.createDataFrame([(k, 1, text) for k in "abc"], "document_id string, page_number int, text string")
+    full = pages.assemble(pages.offsets(pages.strip_repeated(page_rows), skip_blank=True)).select("document_id", F.col("full_text").alias("text"))
+
+    def alone(how, k, size, overlap):
+        made = chunking.long_enough(how(full.filter(F.col("document_id") == k), "text", size, overlap))
+        return sorted((r.chunk_index, r.text, r.char_start, r.char_end) for r in made.collect())
+
+    def of(chunks, k):
+        return sorted((r.chunk_index, r.text, r.char_start, r.char_end) for r in chunks.filter(F.col("document_id") == k).collect())
+
+    done, chunks = (spark.createDataFrame(x.collect(), x.schema) for x in ingest.run_pipeline(documents, page_rows, F.current_timestamp()))
+    assert of(chunks, "a") == alone(chunking.fixed, "a", 512, 64) and of(chunks, "b") == alone(chunking.recursive, "b", 100, 10) and of(chunks, "c") == alone(chunking.recursive, "c", 512, 64)
+    for k, how, size, overlap in (("a", chunking.fixed, 40, 15), ("b", chunking.recursive, 60, 5)):
+        after, fresh = (spark.createDataFrame(x.collect(), x.schema) for x in api.rechunk(done, page_rows, chunks, k, F.current_timestamp(), size=size, overlap=overlap))
+        want = alone(how, k, size, overlap)
+        assert len(want) > 10 and of(fresh, k) == want and of(fresh, "c") == of(chunks, "c")
+        assert {(r.chunk_size, r.chunk_overlap, r.chunk_count) for r in after.filter(F.col("id") == k).collect()} == {(size, overlap, len(want))}
