@@ -33,15 +33,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id, and rows that repeat an id with another
-    text, are documents of their own; rows that repeat both are one."""
-    groups = jaccard_join.jaccard_components(docs, n=SHINGLE, percent=PERCENT)
-    times = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("copy"))
-    marks, _ = shared.store(times.filter("doc_id is not null and (n > 1 or copy)"))
-    kept = docs.join(marks.filter("copy").select("doc_id"), "doc_id", "left_anti")
-    once = kept.join(marks.filter("n > 1").select("doc_id"), "doc_id", "left_anti")
-    again = kept.join(marks.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(*COLUMNS)
+    """The document with the smallest id of each group stays; rows without an id are documents of their own, and so are rows
+    that repeat an id with another text, each held against the others by its own text; rows that repeat both are one."""
+    own = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    groups, _ = shared.store(jaccard_join.jaccard_components(own.filter("__key is not null"), "__key", n=SHINGLE, percent=PERCENT))
+    linked = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    nodes = linked.unionByName(linked.select(F.col("component_id").alias("__key"), "component_id").distinct())
+    members, _ = shared.store(own.select("doc_id", "__key").join(nodes, "__key").distinct())
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    copies = members.join(first, "component_id").filter(F.col("first.__key") != F.col("__key")).select("__key")
+    again = groups.groupBy(F.col("doc_id").alias("__key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key")
+    marks, _ = shared.store(copies.select("__key", F.lit(True).alias("copy")).unionByName(again.join(copies, "__key", "left_anti").select("__key", F.lit(False).alias("copy"))))
+    once = own.join(marks, "__key", "left_anti")
+    repeated = own.join(marks.filter("not copy"), "__key", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

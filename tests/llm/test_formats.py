@@ -221,3 +221,20 @@ def test_pipeline_drops_toxic_and_keeps_clean(spark):
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     bad, good = [{k for k, y in marks.items() if y == v} for v in (1, 0)]
     assert len(good & left) >= 0.99 * len(good) and len(bad & left) <= 0.4 * len(bad)
+
+
+def test_near_duplicates_go_by_text_not_by_id(spark):
+    import corpus_pipeline as cp
+
+    def text(k):
+        return " ".join(f"t{k}w{j}" for j in range(60))
+
+    rows = [(1, text(1)), (2, text(2)), (3, text(3)), (5, text(1)), (5, text(4)), (5, text(5)), (5, text(5)), (6, text(5)), (6, text(6)), (7, text(6) + " more"), (2, text(7)), (9, text(2).upper())]
+    rows += [(100, text(200 + k)) for k in range(30)] + [(100, text(3))] + [(None, text(8)), (None, text(8)), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    gone = [(5, text(1)), (6, text(5)), (7, text(6) + " more"), (9, text(2).upper()), (100, text(3)), (5, text(5))]
+    want = list(rows)
+    for x in gone:
+        want.remove(x)
+    assert sorted(kept, key=str) == sorted(want, key=str)
