@@ -2,14 +2,16 @@
 
 Token weights are summed into cells (source, language, topic). Raking multiplies the cells by target / current for one
 margin after the other until source, language and topic shares all meet their targets; the ratio of a raked cell to its
-tokens, scaled to the token budget, is the probability with which its documents are sampled. Only the cell table is
-raked; the corpus is read twice, never sorted, and its hot source is summed before any shuffle.
+tokens, scaled to the token budget, is the probability with which its documents are sampled. Where that would pass 1, the
+cells are raked again with their tokens as a bound (``bounded``), so that the other cells take over what a full cell can't
+give, and the budget is met. A value whose target is more than all its tokens is kept whole, and the other values of its
+margin share the rest in their proportions; ``report`` gives achieved and target shares. Only the cell table is raked; the corpus is read twice, never sorted, and its hot source is summed before any shuffle.
 
 Targets: a margin's target shares are its token shares to the power ``temper`` (1 keeps them, 0 makes them equal), or
 shares given by value in ``targets`` (values that are not named get nothing).
 
 Defined cases: null and empty categories are one category, ''; null text weighs one token, as does an empty one; a
-probability above 1 counts as 1; equal ids share their fate; an empty table gives no rows. Sampling compares the
+budget above all tokens that have a target keeps them all; equal ids share their fate; an empty table gives no rows. Sampling compares the
 probability with a uniform number made from the id alone (or the text, without an id), so it is repeatable.
 """
 
@@ -22,9 +24,12 @@ from .arrow import quoted
 from .shared import remove, store
 
 MARGINS = ("source", "lang", "topic")
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 ROUNDS = 8
 #: Rounds in one plan; the cells are stored between.
 ROUNDS_A_JOB = 4
+#: Rounds of bounded raking at most, in one plan, and the relative error of the margins at which it ends.
+BOUND_ROUNDS, BOUND_ROUNDS_A_JOB, SETTLED = 40, 2, 1e-7
 
 
 def tokens(text: Column) -> Column:
@@ -49,7 +54,8 @@ def uniform(doc_id: Column, text: Column) -> Column:
 
 
 def rake(cells: DataFrame, temper: dict[str, float], targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (the margins and n_tokens) with ``weight``: shares of all tokens (they sum to 1) that meet the margins' targets."""
+    """``cells`` (the margins and n_tokens) with ``weight``: shares of all tokens (they sum to 1) that meet the margins' targets, ``goal_``
+    and the margin's name."""
     targets = targets or {}
     now, path = store(cells)
     goal: dict[str, Column] = {}
@@ -73,7 +79,67 @@ def rake(cells: DataFrame, temper: dict[str, float], targets: dict[str, dict[str
             remove(spark, path)
             path = new_path
     total = now.agg(F.sum("weight")).first()[0] or 1.0
-    return now.select(*MARGINS, "n_tokens", (F.col("weight") / F.lit(total)).alias("weight"))
+    return now.select(*MARGINS, "n_tokens", (F.col("weight") / F.lit(total)).alias("weight"), *[f"goal_{m}" for m in MARGINS])
+
+
+def _filled(rows: DataFrame, target: Column, most: str, part: str, ties: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``__f``, the factor at which the sum of least(``most``, factor x ``part``) in a group is ``target``.
+
+    With the rows that fill first in front, each row gives the factor at which just those before it are full; the
+    largest of them is the one."""
+    group = Window.partitionBy(*by)
+    ratio = F.col(most) / F.col(part)
+    up = group.orderBy(ratio.asc(), *[F.col(c).asc() for c in ties]).rowsBetween(Window.unboundedPreceding, -1)
+    down = group.orderBy(ratio.desc(), *[F.col(c).desc() for c in ties]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.withColumn("__f", (target - F.coalesce(F.sum(most).over(up), F.lit(0.0))) / F.sum(part).over(down))
+    return each.withColumn("__f", F.max("__f").over(group))
+
+
+def bounded(raked: DataFrame, budget: float) -> DataFrame:
+    """``raked`` cells that have a weight, with ``expected``: tokens that sum to ``budget`` and meet the margins' targets, at most
+    ``n_tokens`` in each cell."""
+    spark = raked.sparkSession
+    cells = raked.filter("weight > 0").withColumns({"__most": F.col("n_tokens").cast("double"), "__part": F.col("weight") * F.lit(budget)})
+    now, path = store(cells)
+    for m in MARGINS:
+        values = now.groupBy(m).agg(F.sum("__most").alias("__all"), F.first(f"goal_{m}").alias("__goal"))
+        factor = _filled(values, F.lit(float(budget)), "__all", "__goal", (m,)).agg(F.max("__f")).first()[0]
+        now = now.withColumn(f"__to_{m}", F.least(F.sum("__most").over(Window.partitionBy(m)), F.lit(factor) * F.col(f"goal_{m}")))
+    for done in range(BOUND_ROUNDS):
+        for m in MARGINS:
+            now = _filled(now, F.col(f"__to_{m}"), "__most", "__part", MARGINS, (m,)).withColumn("__part", F.col("__part") * F.col("__f")).drop("__f")
+        if (done + 1) % BOUND_ROUNDS_A_JOB == 0 or done + 1 == BOUND_ROUNDS:
+            now, new_path = store(now)
+            remove(spark, path)
+            path = new_path
+            off = [now.groupBy(m).agg((F.abs(F.sum(F.least("__most", "__part")) / F.first(f"__to_{m}") - 1)).alias("e")).select("e") for m in MARGINS[:-1]]
+            if off[0].unionByName(off[1]).agg(F.max("e")).first()[0] < SETTLED:
+                break
+    return now.select(*raked.columns, F.least("__most", "__part").alias("expected"))
+
+
+def rates(cells: DataFrame, fraction: float, temper: dict[str, float], targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``cells`` (the margins and n_tokens) that have a target, with ``p``, the probability of their documents."""
+    raked, _ = store(rake(cells, temper, targets))
+    budget = fraction * (raked.agg(F.sum("n_tokens")).first()[0] or 0)
+    expected = F.lit(budget) * F.col("weight")
+    if raked.filter(expected > F.col("n_tokens")).limit(1).count():
+        raked, expected = bounded(raked, budget), F.col("expected")
+    done, _ = store(raked.withColumn("p", F.round(F.least(F.lit(1.0), expected / F.col("n_tokens")), 9)))
+    return done.select(*MARGINS, "n_tokens", *[f"goal_{m}" for m in MARGINS], "p")
+
+
+def report(rated: DataFrame) -> DataFrame:
+    """(margin, value, target, achieved): shares of the expected tokens of ``rates``' cells; a value without any has no row."""
+    kept = F.col("n_tokens") * F.col("p")
+    total = rated.agg(F.sum(kept)).first()[0] or 1.0
+    parts = [rated.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"goal_{m}").alias("target"), (F.sum(kept) / F.lit(total)).alias("achieved")) for m in MARGINS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def cell_table(rows: DataFrame) -> DataFrame:
+    """The cells of ``categorised`` rows."""
+    return rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("n_tokens"))
 
 
 def categorised(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", topic_of: Column | None = None) -> DataFrame:
@@ -85,13 +151,10 @@ def categorised(df: DataFrame, text: str = "text", source: str = "source", lang:
 def mix(df: DataFrame, fraction: float = 0.5, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """The sampled rows of ``df``, with ``__source``, ``__lang``, ``__topic``, ``__tokens`` and ``__p``, their probability.
 
-    ``fraction`` of all tokens is expected, with source, language and topic shares at their targets (as far as no
-    probability passes 1)."""
+    ``fraction`` of all tokens is expected, with source, language and topic shares at their targets as far as the values have the
+    tokens for it."""
     rows = categorised(df, text, source, lang)
-    cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("n_tokens"))
-    raked = rake(cells, temper or {"source": 0.7, "lang": 0.7, "topic": 0.7}, targets)
-    total = raked.agg(F.sum("n_tokens")).first()[0] or 0
-    rates, _ = store(raked.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.round(F.least(F.lit(1.0), F.lit(fraction * total) * F.col("weight") / F.col("n_tokens")), 9).alias("__p")))
-    joined = rows.join(rates, [f"__{m}" for m in MARGINS])
+    rated = rates(cell_table(rows), fraction, temper or TEMPER, targets)
+    joined = rows.join(rated.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("p").alias("__p")), [f"__{m}" for m in MARGINS])
     kept = joined.filter(uniform(quoted(doc_id), quoted(text)) < F.col("__p"))
     return kept.select(*[quoted(c) for c in df.columns], *[F.col(f"__{m}") for m in MARGINS], "__tokens", "__p")

@@ -238,3 +238,31 @@ def test_near_duplicates_go_by_text_not_by_id(spark):
     for x in gone:
         want.remove(x)
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("fraction", [0.5, 0.6])
+def test_mix_meets_budget_and_shares_with_full_cells(spark, fraction):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    cells = source_mix.cell_table(source_mix.categorised(docs)).cache()
+    rated = source_mix.rates(cells, fraction, source_mix.TEMPER)
+    rows = rated.collect()
+    total = sum(r.n_tokens for r in rows)
+    assert any(r.p == 1 for r in rows) and all(0 < r.p <= 1 for r in rows)
+    assert abs(sum(r.n_tokens * r.p for r in rows) / total - fraction) < 1e-6
+    out = [(r.margin, r.value, r.target, r.achieved) for r in source_mix.report(rated).collect()]
+    room = {(m, v): sum(r.n_tokens for r in rows if r[m] == v) / (fraction * total) for m, v, _, _ in out}
+    for m in source_mix.MARGINS:
+        mine = [x for x in out if x[0] == m]
+        goal = {v: t for _, v, t, _ in mine}
+        free = set(goal)
+        while any(goal[v] > room[m, v] + 1e-12 for v in free):  # values without enough tokens are kept whole, the others share the rest
+            goal |= {v: room[m, v] for v in free if goal[v] > room[m, v]}
+            free -= {v for v in free if goal[v] == room[m, v]}
+            rest, held = 1 - sum(goal[v] for v in goal if v not in free), sum(goal[v] for v in free)
+            goal |= {v: goal[v] * rest / held for v in free}
+        assert all(abs(got - goal[v]) < 1e-5 for _, v, _, got in mine)
+    sample = source_mix.mix(docs, fraction).collect()
+    for m, v, _, share in out:  # four standard deviations, estimated from the sample
+        mine = [r for r in sample if r[f"__{m}"] == v]
+        spread = sum(r["__tokens"] ** 2 * (1 - r["__p"]) for r in mine) ** 0.5
+        assert abs(sum(r["__tokens"] for r in mine) - share * fraction * total) <= 4 * spread + 1
