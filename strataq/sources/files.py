@@ -42,8 +42,9 @@ def document_records(files: DataFrame, strategy: str = "recursive", size: int =
 
 def pdf_pages(files: DataFrame, reader: PageReader | None = None, mode: str = "full", id: str = "path", ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
     """(id, page_number, text, tables, ocr_used, error) of every page of ``content``. ``mode`` ``plain`` takes stripped text as
-    it is; ``full`` cleans it and keeps tables. Pages with little text go to ``ocr`` where one is given. A file that can't be
-    read gives one row with ``error`` and no page, so one bad file doesn't end the job."""
+    it is; ``full`` cleans it and keeps the tables that the reader returns (the built-in reader extracts none, so theirs are
+    empty). Pages with little text go to ``ocr`` where one is given. A file that can't be read gives one row with ``error``
+    and no page, so one bad file doesn't end the job."""
     from .pdf import read_pages
 
     read = reader or read_pages
