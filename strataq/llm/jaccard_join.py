@@ -6,33 +6,41 @@
    Shingles that many texts hold are left out of the segments of sets that have enough others, so shared passages don't
    tie unlike texts together. Signatures are combined in each task before the shuffle and give a forest of candidates,
    never pairs of a group.
-3. The sets of a connected candidate group are put in a compressed trie. Each set is matched against the trie from the
-   root; the overlap with a shared prefix is counted once for all sets below, and a subtree is left as soon as its
-   sizes and the remaining lengths can't reach the threshold, or when all its sets are joined to the set already.
-   In a group, tokens are ordered from rare to frequent.
-   Groups above ``GROUP`` shingles are first parted by the rare shingles that their sets share; what is still above is cut
-   into blocks, each two of which meet in one task.
+3. The sets of a connected candidate group are put in a compressed trie. Each set is matched against the trie along the
+   paths to the sets that share a rare token with it; the overlap with a shared prefix is counted once for all sets
+   below, and a subtree is left as soon as its sizes and the remaining lengths can't reach the threshold, or when all its
+   sets are joined to the set already. In a group, tokens are ordered from rare to frequent.
+   Groups above ``GROUP`` are first parted by the rare shingles that their sets share. What is still above is mostly copies
+   of one text: it is cut into blocks that each take ``PIVOTS`` of the group's sets along, which joins nearly all of it, and
+   then only the sets outside the group's largest part meet those of the other blocks.
 4. Links are whole-number tests, 100 * intersection >= percent * union; components are the smallest ids reachable.
 
 Defined cases: A-Z is lower-cased and words are runs of other bytes than 09-0D and 20; a text with fewer words than a
 shingle is one shingle of all its words; without words (or null) the set is empty and links with nothing. A row without
-an id links with nothing. Repeated rows belong to the same node. Texts are taken whole.
+an id links with nothing. Repeated rows belong to the same node. Texts are taken whole, however long. An empty table gives
+no rows. Other columns of the input are not returned, so their names can't clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import quoted, slices
-from .shared import components, store
-
-#: Shingles of sets that are together in one task.
-GROUP = 1_500_000
+from .shared import attach, components, hot_bound, remove, store
+
+#: Shingles of sets that are together in one task, where each set counts as ``SET`` shingles more.
+GROUP, SET = 1_500_000, 32
+#: Tokens that two sets must have in common among their first ones before the trie is walked from one to the other.
+SHARED = 4
+#: Sets of a large group that every block of it holds.
+PIVOTS = 3
+#: Rows of (id, node, block) that are broadcast at most (8 MB); more are met by a shuffle of the texts.
+FEW = 150_000
 #: Signatures that a task combines at a time, and words whose hashes it keeps.
 COMBINE = 1_500_000
 WORDS = 400_000
@@ -76,11 +84,15 @@ class Shingler:
         return np.unique(out)
 
 
-def digest(sets: np.ndarray) -> int:
-    """Node of a set: a hash of its elements and size, as a signed long."""
+def digest(sets: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set's elements and size, as signed longs: its node, and a check that tells apart unlike sets of the
+    same node."""
     if not len(sets):
-        return 0
-    return int(mix(np.add.reduce(mix(sets ^ _A), keepdims=True) + np.uint64(len(sets))).view(np.int64)[0])
+        return 0, 0
+    size = np.uint64(len(sets))
+    sums = np.array([np.add.reduce(mix(sets ^ _A)) + size, np.add.reduce(mix(sets * _C ^ _B)) ^ size])
+    node, check = mix(sums).view(np.int64).tolist()
+    return node, check
 
 
 class Classes:
@@ -154,18 +166,6 @@ def combine(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sigs[new], nodes[new], pairs[0], pairs[1]
 
 
-def shingle_table(df: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(doc_id, node, n_shingles) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for batch in batches:
-            sets = [(digest(s), len(s)) for texts in slices(batch.column(1)) for s in map(shingle, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], ["doc_id", "node", "n_shingles"])
-
-    return df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long")
-
-
 def popular_hashes(df: DataFrame, text: str, n: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts hold, by a sample of at most about ``SAMPLE`` texts: ``POPULAR`` at most.
 
@@ -187,8 +187,19 @@ def popular_hashes(df: DataFrame, text: str, n: int) -> np.ndarray:
     return np.sort(rows["h"].to_numpy().view(np.uint64))
 
 
-def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """(a, b): a forest of candidate nodes; sets that link are connected in it."""
+#: What ``scan`` writes: facts of a row (id, node, check, size), a signature and the smallest of its nodes in a task, or an edge.
+FACT, SIGNATURE, EDGE = 0, 1, 2
+SCANNED = "kind int, x long, y long, z long, w long"
+
+
+def _scanned(kind: int, *columns: pa.Array | np.ndarray | list[int]) -> pa.RecordBatch:
+    n = len(columns[0])
+    filled = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns] + [pa.nulls(n, pa.int64())] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *filled], ["kind", "x", "y", "z", "w"])
+
+
+def scan(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """One pass over the texts: rows of ``SCANNED``. Signatures are combined in each task; rows without an id have none."""
     frequent = df.sparkSession.sparkContext.broadcast(popular_hashes(df, text, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +214,21 @@ def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                 sigs.clear()
                 nodes.clear()
                 seen.clear()
-                route = mix(a.view(np.uint64) * _A ^ b.view(np.uint64))
                 for at in range(0, len(s), 100_000):
-                    part = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(s[part].view(np.int64)), pa.array(m[part]), pa.nulls(len(s[part]), pa.int64())], ["sig", "a", "b"])
-                yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(a), pa.array(b)], ["sig", "a", "b"])
+                    yield _scanned(SIGNATURE, s[at : at + 100_000].view(np.int64), m[at : at + 100_000])
+                yield _scanned(EDGE, a, b)
 
         held = 0
         for batch in batches:
-            for texts in slices(batch.column(0)):
-                for s in map(shingle, texts):
-                    if not len(s) or (node := digest(s)) in seen:
+            ids, at = batch.column(0), 0
+            for texts in slices(batch.column(1)):
+                sets = list(map(shingle, texts))
+                keys = [digest(s) for s in sets]
+                own = ids.slice(at, len(texts))
+                at += len(texts)
+                yield _scanned(FACT, own, [k[0] for k in keys], [k[1] for k in keys], [len(s) for s in sets])
+                for s, (node, _), known in zip(sets, keys, own.is_valid().to_pylist()):
+                    if not len(s) or not known or node in seen:
                         continue
                     seen.add(node)
                     for found in signatures(s, classes, popular):
@@ -225,10 +240,15 @@ def candidates(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
                     held = 0
         yield from flush()
 
-    met = df.filter(quoted(doc_id).isNotNull()).select(quoted(text).alias("text")).mapInArrow(run, "sig long, a long, b long")
-    first = F.first("a").over(Window.partitionBy("sig").orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = met.withColumn("m", F.when(F.col("b").isNull(), first).otherwise(F.col("b")))
-    return edges.filter("m <> a").select("a", F.col("m").alias("b")).distinct()
+    return df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, SCANNED)
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """(a, b): a forest of candidate nodes; sets that link are connected in it. A task has a signature once, so the window
+    holds one row for each task at most."""
+    met = scanned.filter(F.col("kind") == SIGNATURE).select(F.col("x").alias("sig"), F.col("y").alias("a"))
+    edges = met.withColumn("b", F.min("a").over(Window.partitionBy("sig"))).filter("a <> b").select("a", "b")
+    return edges.unionByName(scanned.filter(F.col("kind") == EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 class Trie:
@@ -249,31 +269,34 @@ class Trie:
         return int(differ.argmax()) if n and differ.any() else n
 
     def build(self, lcp: list[int]) -> tuple:
-        """(lo, hi, from, to, smallest size, longest list, children) of the root, without recursion on depth."""
+        """(lo, hi, from, to, smallest size, longest list, children, first leaves of the children) of the root, without
+        recursion on depth."""
         made: dict[tuple[int, int], tuple] = {}
         lcp = np.array(lcp, np.int64)
         stack = [(0, len(self.lists), 0, False)]
         while stack:
             lo, hi, above, ready = stack.pop()
             if hi - lo == 1:
-                made[lo, hi] = (lo, hi, above, int(self.length[lo]), int(self.size[lo]), int(self.length[lo]), ())
+                made[lo, hi] = (lo, hi, above, int(self.length[lo]), int(self.size[lo]), int(self.length[lo]), (), None)
                 continue
             to = int(lcp[lo : hi - 1].min())
             cuts = [lo, *(np.flatnonzero(lcp[lo : hi - 1] == to) + lo + 1).tolist(), hi]
             parts = list(zip(cuts, cuts[1:]))
             if ready:
-                made[lo, hi] = (lo, hi, above, to, int(self.size[lo:hi].min()), int(self.length[lo:hi].max()), tuple(made.pop(p) for p in parts))
+                made[lo, hi] = (lo, hi, above, to, int(self.size[lo:hi].min()), int(self.length[lo:hi].max()), tuple(made.pop(p) for p in parts), np.array(cuts[:-1]))
             else:
                 stack.append((lo, hi, above, True))
                 stack += [(a, b, to, False) for a, b in parts]
         return next(iter(made.values()))
 
-    def linked(self, x: np.ndarray, n: int, wanted: np.ndarray, percent: int) -> Iterator[int]:
-        """Leaves among ``wanted`` (a mask over leaves, read again after each answer) that link with the list x of a set of n."""
-        stack = [(self.root, 0)]
+    def linked(self, x: np.ndarray, n: int, wanted: np.ndarray, percent: int, open_: Callable[[np.ndarray], np.ndarray]) -> Iterator[int]:
+        """Leaves among ``wanted`` (sorted) that link with the list x of a set of n. Only the paths to them are walked;
+        ``open_`` leaves those of some leaves that still matter, and is asked again below each fork."""
+        stack = [(self.root, 0, wanted)]
         while stack:
-            (lo, hi, at, to, small, longest, children), overlap = stack.pop()
-            if not wanted[lo:hi].any():
+            (lo, hi, at, to, small, longest, children, firsts), overlap, wanted = stack.pop()
+            wanted = open_(wanted)
+            if not len(wanted):
                 continue
             edge, alive, chunk = self.lists[lo], True, 64
             while alive and at < to:
@@ -286,17 +309,46 @@ class Trie:
             if not alive:
                 continue
             if children:
-                stack += [(c, overlap) for c in reversed(children)]
+                of = np.searchsorted(firsts, wanted, "right") - 1
+                cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+                stack += [(children[of[a]], overlap, wanted[a:b]) for a, b in reversed(list(zip(cuts, cuts[1:])))]
             elif (100 + percent) * overlap >= percent * (n + small):
                 yield lo
 
 
-def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The first set (index) of each set's connected part, by matching each set against the trie of all.
+class Parts:
+    """Union-find over the leaves of a trie."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def of(self, leaves: np.ndarray) -> np.ndarray:
+        at = self.root[leaves]
+        while (self.root[at] != at).any():
+            at = self.root[at]
+        self.root[leaves] = at
+        return at
+
+    def one(self, leaf: int) -> int:
+        root = self.root
+        while root[leaf] != leaf:
+            root[leaf] = root[root[leaf]]
+            leaf = root[leaf]
+        return int(leaf)
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.one(a), self.one(b)
+        self.root[max(a, b)] = min(a, b)
+
+
+def trie_components(sets: list[np.ndarray], percent: int, labels: list | None = None) -> np.ndarray:
+    """The first set (index) of each set's connected part, by matching each set against the trie of all. Sets of equal
+    ``labels`` are known to be connected.
 
     Tokens are ordered by how many of these sets hold them, then by hash. A token of one set alone is left out of its
-    list (it counts in the set's size, never in an overlap). Two sets that link share a token among the first
-    ``size - least overlap + 1`` of each, so only sets that do are looked for in the trie."""
+    list (it counts in the set's size, never in an overlap). Two sets that link share s tokens among the first
+    ``size - least overlap + s`` of each, so only sets that do are looked for in the trie (s is ``SHARED``, or the least
+    overlap of the smaller set); a token whose sets are all joined is not looked at again."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -307,40 +359,57 @@ def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
     whole = [np.sort(rank[inverse[e - k : e]]) for e, k in zip(ends, size)]
     lists = [w[np.searchsorted(w, lone) :].astype(np.uint32) for w in whole]
     trie = Trie(lists, size)
-    prefix = size - -(-size * percent // 100) + 1
-    heads = [lists[k][: max(0, prefix[k] - (size[k] - len(lists[k])))] for k in range(n)]
-    leaf = np.empty(n, np.int64)
-    leaf[trie.order] = np.arange(n)
-    owners = np.repeat(leaf, [len(h) for h in heads])
+    overlap = -(-trie.size * percent // 100)
+    shared = np.minimum(SHARED, overlap)
+    heads = [x[:m] for x, m in zip(trie.lists, np.maximum(0, trie.length - overlap + shared).tolist())]
+    owners = np.repeat(np.arange(n), [len(h) for h in heads])
     flat = np.concatenate(heads)
-    order = np.argsort(flat, kind="stable")
-    flat, owners = flat[order], owners[order]
-    label, place = np.arange(n), np.arange(n)
+    order = np.argsort(flat, kind="stable")  # leaves of a token stay in order
+    owners = owners[order]
+    held, first = np.unique(flat[order], return_index=True)
+    first = np.append(first, len(owners))
+    calm = np.zeros(len(held), bool)
+    parts = Parts(n)
+    if labels is not None:
+        leader: dict = {}
+        for leaf, k in enumerate(trie.order):
+            parts.join(leader.setdefault(labels[k], leaf), leaf)
     for k in range(n):
-        head = heads[trie.order[k]]
-        if not len(head):
-            continue
-        wanted = np.zeros(n, bool)
-        for a, b in zip(np.searchsorted(flat, head), np.searchsorted(flat, head, "right")):
-            wanted[owners[a:b]] = True
-        wanted &= (label != label[k]) & (place > k) & (100 * trie.size >= percent * trie.size[k]) & (percent * trie.size <= 100 * trie.size[k])
-        if not wanted.any():
+        open_ = np.searchsorted(held, heads[k])
+        open_ = open_[~calm[open_]]
+        if not len(open_):
             continue
-        for found in trie.linked(trie.lists[k], int(trie.size[k]), wanted, percent):
-            if label[found] != label[k]:
-                old, new = max(label[found], label[k]), min(label[found], label[k])
-                label[label == old] = new
-                wanted &= label != label[k]
+        met = [owners[first[t] : first[t + 1]] for t in open_.tolist()]
+        own = np.concatenate(met)
+        mine = parts.one(k)
+        other = parts.of(own) != mine
+        starts = np.cumsum([0, *map(len, met[:-1])])
+        calm[open_[~np.logical_or.reduceat(other, starts)]] = True
+        own = own[other & (own > k)]
+        if len(own) * 8 > n:
+            times = np.bincount(own, minlength=n)
+            wanted = np.flatnonzero(times)
+            times = times[wanted]
+        else:
+            wanted, times = np.unique(own, return_counts=True)
+        near, there = trie.size[k], trie.size[wanted]
+        wanted = wanted[(times >= np.minimum(shared[k], shared[wanted])) & (100 * there >= percent * near) & (percent * there <= 100 * near)]
+        if len(wanted):
+            unjoined = lambda leaves: leaves[parts.of(leaves) != parts.one(k)]  # noqa: B023, E731
+            for found in trie.linked(trie.lists[k], int(near), wanted, percent, unjoined):
+                parts.join(found, k)
     # a part's name is its smallest index among the sets
+    root = parts.of(np.arange(n))
     least = np.full(n, n, np.int64)
-    np.minimum.at(least, label, np.array(trie.order))
+    np.minimum.at(least, root, np.array(trie.order))
     out = np.empty(n, np.int64)
-    out[trie.order] = least[label]
+    out[trie.order] = least[root]
     return out
 
 
 def join_groups(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links found among rows (comp, i, j, doc_id, node, text) that are sorted by (comp, i, j) in a partition."""
+    """(a, b): links found among rows (comp, i, j, doc_id, node, check, label, text) that are sorted by (comp, i, j) in a
+    partition; rows of one label (not null) are joined already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -348,90 +417,142 @@ def join_groups(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(sets) > 1:
-                ids = list(sets)
-                ids.sort(key=lambda d: sets[d][0])
-                root = trie_components([sets[d][1] for d in ids], percent)
-                owner = np.array([sets[d][0] for d in ids], np.int64)
-                mine = np.flatnonzero(root != np.arange(len(ids)))
+                rows = sorted(sets.values(), key=lambda r: r[0])
+                root = trie_components([r[2] for r in rows], percent, None if rows[0][1] is None else [r[1] for r in rows])
+                owner = np.array([r[0] for r in rows], np.int64)
+                mine = np.flatnonzero(root != np.arange(len(rows)))
                 if len(mine):
                     yield pa.RecordBatch.from_arrays([pa.array(owner[mine]), pa.array(owner[root[mine]])], ["a", "b"])
 
         for batch in batches:
-            comp, i, j, ids, nodes = (batch.column(k).to_pylist() for k in range(5))
+            columns = [batch.column(k).to_pylist() for k in range(7)]
             at = 0
-            for part in slices(batch.column(5)):
+            for part in slices(batch.column(7)):
                 for text in part:
-                    now = (comp[at], i[at], j[at])
-                    if now != key:
-                        yield from close()
-                        key, sets = now, {}
-                    s = shingle(text)
-                    if nodes[at] not in sets and len(s) and digest(s) == nodes[at]:
-                        sets[nodes[at]] = (ids[at], s)
+                    comp, i, j, doc, node, check, label = (c[at] for c in columns)
                     at += 1
+                    if (comp, i, j) != key:
+                        yield from close()
+                        key, sets = (comp, i, j), {}
+                    if (node, check) not in sets:
+                        s = shingle(text)
+                        if len(s) and digest(s) == (node, check):
+                            sets[node, check] = (doc, label, s)
         yield from close()
 
     return texts.mapInArrow(run, "a long, b long")
 
 
-def group_blocks(members: DataFrame) -> DataFrame:
-    """(comp, n_blocks) of candidate groups; two blocks or fewer fit in one task."""
-    return members.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(2 * F.sum("n") / GROUP)).cast("int").alias("n_blocks"))
+def with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (doc_id and more) with the texts of their ids. Up to ``FEW`` rows, which are counted, go to the texts, so that only
+    texts that are needed are shuffled later; more meet them by a shuffle."""
+    few = rows.count() <= FEW
+    return texts.join(F.broadcast(rows) if few else rows.hint("shuffle_hash"), "doc_id")
+
+
+def links_of(texts: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links within each (comp, i, j) of ``dealt`` (node, check, rep, comp, i, j, label)."""
+    rows = dealt.select(F.col("rep").alias("doc_id"), "node", "check", "comp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "label")
+    met = with_text(texts, rows).select("comp", "i", "j", "doc_id", "node", "check", "label", "text")
+    return join_groups(met.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), n, percent)
+
+
+def blocks_of(weight: Column) -> Column:
+    """Blocks for sets of this weight in all; any two blocks fit in one task."""
+    return F.ceil(2 * weight / GROUP).cast("int")
+
+
+WEIGHT = f"n + {SET}"
+
+
+def sized(members: DataFrame) -> DataFrame:
+    """``members`` (node, check, rep, n, comp) of groups of two or more, with their group's ``n_blocks``."""
+    sizes = members.groupBy("comp").agg(blocks_of(F.sum(F.expr(WEIGHT))).alias("n_blocks"), F.count(F.lit(1)).alias("n_sets"))
+    return attach(members, sizes.filter("n_sets > 1"), ["comp"], "n_sets", hot_bound(members.count())).filter("n_blocks is not null")
 
 
 def shared_prefixes(texts: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): a finer forest of candidates among the nodes of large groups.
+    """(a, b): a finer forest of candidates among the nodes of large groups (node, check, rep, n, comp).
 
-    Over these nodes shingles are ordered from rare to frequent. Linked sets share one among the first
+    In a group shingles are ordered from rare to frequent. Linked sets share one among the first
     ``size - least overlap + 1`` of each, so nodes with as many shingles of their own link with nothing and go, and the others
-    are tied by the shared shingles of those first ones."""
+    are tied by the shared shingles of those first ones. A shingle is counted by partial sums, and its count goes back to its
+    rows by ``attach``, so one that all sets of a large group hold is not one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for batch in batches:
-            nodes, at = batch.column(0).to_pylist(), 0
-            for part in slices(batch.column(1)):
+            comp, node, check = (batch.column(k).to_pylist() for k in range(3))
+            at = 0
+            for part in slices(batch.column(3)):
                 for text in part:
                     s = shingle(text)
-                    if len(s) and digest(s) == nodes[at]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), nodes[at], np.int64)), pa.array(s.view(np.int64))], ["node", "token"])
+                    if len(s) and digest(s) == (node[at], check[at]):
+                        own = mix(s ^ np.uint64(comp[at] & 0xFFFFFFFFFFFFFFFF))  # a shingle of another group is another token
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node[at], np.int64)), pa.array(own.view(np.int64))], ["node", "token"])
                     at += 1
 
-    met = texts.join(large.select(F.col("rep").alias("doc_id"), "node").hint("shuffle_hash"), "doc_id").select("node", "text")
-    tokens = met.mapInArrow(run, "node long, token long")
-    shared = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    met = with_text(texts, large.select(F.col("rep").alias("doc_id"), "comp", "node", "check")).select("comp", "node", "check", "text")
+    tokens, path = store(met.mapInArrow(run, "node long, token long"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = attach(tokens, often.withColumn("times", F.col("df")), ["token"], "times", hot_bound(tokens.count())).filter("df is not null")
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("l"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("l"))
-    heads = lists.join(large.select("node", "n"), "node").filter(first > 0)
-    rows = heads.select("node", F.explode(F.slice("l", F.lit(1), first.cast("int"))).alias("x")).select("node", F.col("x.token").alias("token"))
-    least = F.first("node").over(Window.partitionBy("token").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("b", least).filter("b <> node").select(F.col("node").alias("a"), "b").distinct()
+    heads = lists.join(large.groupBy("node").agg(F.max("n").alias("n")), "node").filter(first > 0)
+    rows, rows_path = store(heads.select("node", F.explode(F.slice("l", F.lit(1), first.cast("int"))).alias("x")).select("node", F.col("x.token").alias("token")))
+    least = rows.groupBy("token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    forest, _ = store(attach(rows, least, ["token"], "times", hot_bound(rows.count())).filter("b <> node").select(F.col("node").alias("a"), "b").distinct())
+    remove(large.sparkSession, path)
+    remove(large.sparkSession, rows_path)
+    return forest
+
+
+def large_links(texts: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links of groups that don't fit in a task, such that all their linked sets are connected.
+
+    First each block with the group's pivots; then the sets that aren't in the largest part so far (``rest``) against the blocks
+    of all others: two sets of the largest part need no look. For copies of one text that is work in proportion."""
+    place = lambda blocks: F.pmod(F.xxhash64("node", "check"), blocks).cast("int")
+    keys = ("node", "check", "rep", "n")
+    one = F.struct(*keys)
+    pivots = large.groupBy("comp", "n_blocks").agg(F.array(*[F.min_by(one, F.struct(F.xxhash64("node", F.lit(k)), "node", "check")) for k in range(PIVOTS)]).alias("p"))
+    pivots = pivots.select("comp", "n_blocks", F.explode(F.array_distinct("p")).alias("p")).select("comp", "p.*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("i"))
+    dealt = large.select("comp", *keys, place(F.col("n_blocks")).alias("i")).unionByName(pivots).dropDuplicates(["comp", "node", "check", "i"])
+    found, _ = store(links_of(texts, dealt.select("*", F.lit(0).alias("j"), F.lit(None).cast("long").alias("label")), n, percent))
+    parts = components(found).select(F.col("node").alias("rep"), "component")
+    labelled, _ = store(large.select("comp", *keys).join(parts, "rep", "left").select("comp", *keys, F.coalesce("component", "rep").alias("label")))
+    sizes = labelled.groupBy("comp", "label").agg(F.sum(F.expr(WEIGHT)).alias("w"), F.count(F.lit(1)).alias("n_sets"))
+    top = sizes.groupBy("comp").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("w"), F.sum("n_sets").alias("n_sets"))
+    open_ = top.filter("w > top.w").select("comp", F.col("top.label").alias("top"), blocks_of(F.col("w") - F.col("top.w")).alias("n_rest"), blocks_of(F.col("top.w")).alias("n_top"), "n_sets")
+    mine = attach(labelled, open_, ["comp"], "n_sets", hot_bound(labelled.count())).filter("top is not null").withColumn("rest", F.col("label") != F.col("top"))
+    mine = mine.withColumn("mine", F.when(F.col("rest"), place(F.col("n_rest"))).otherwise(F.col("n_rest") + place(F.col("n_top"))))
+    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("n_rest") + F.col("n_top")).otherwise(F.col("n_rest")) - 1)
+    met = mine.withColumn("other", F.explode(F.filter(others, lambda k: k != F.col("mine"))))
+    met = met.select("comp", *keys, "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return found.unionByName(links_of(texts, met, n, percent))
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id. A pair links when 100 * |intersection| >= percent * |union|."""
-    table, _ = store(shingle_table(df, doc_id, text, n))
+    scanned, _ = store(scan(df, doc_id, text, n, percent))
+    table = scanned.filter(F.col("kind") == FACT).select(F.col("x").alias("doc_id"), F.col("y").alias("node"), F.col("z").alias("check"), F.col("w").alias("n_shingles"))
     known = table.filter("doc_id is not null and n_shingles > 0")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    comps = components(candidates(df, doc_id, text, n, percent)).withColumnRenamed("component", "comp")
+    nodes, _ = store(known.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
+    comps = components(candidates(scanned)).withColumnRenamed("component", "comp")
     texts = df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    members, _ = store(comps.join(nodes, "node"))
-    blocks = group_blocks(members)
-    if blocks.filter("n_blocks > 2").limit(1).count():
-        large = members.join(blocks.filter("n_blocks > 2").select("comp"), "comp", "left_semi")
+    columns = ["node", "check", "rep", "n", "comp"]
+    groups, _ = store(sized(comps.join(nodes, "node").select(*columns)))
+    small, large = groups.filter("n_blocks <= 2"), groups.filter("n_blocks > 2")
+    if large.limit(1).count():
         finer = components(shared_prefixes(texts, large, n, percent)).withColumnRenamed("component", "comp")
-        rest = members.join(blocks.filter("n_blocks > 2").select("comp"), "comp", "left_anti")
-        members, _ = store(rest.select("node", "comp", "rep", "n").unionByName(large.drop("comp").join(finer, "node").select("node", "comp", "rep", "n")))
-        blocks = group_blocks(members)
-    dealt = members.join(blocks, "comp").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    other = F.when(F.col("n_blocks") <= 2, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: k != F.col("mine")))
-    dealt = dealt.withColumn("other", F.explode(other))
-    few = F.col("n_blocks") <= 2
-    dealt = dealt.select("node", F.col("rep").alias("doc_id"), "comp", F.when(few, 0).otherwise(F.least("mine", "other")).alias("i"), F.when(few, 0).otherwise(F.greatest("mine", "other")).alias("j"))
-    joined = texts.join(dealt.hint("shuffle_hash"), "doc_id").select("comp", "i", "j", "doc_id", "node", "text")
-    links = join_groups(joined.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), n, percent)
+        parted, _ = store(sized(large.drop("comp", "n_blocks").join(finer, "node").select(*columns)))
+        small, large = small.unionByName(parted.filter("n_blocks <= 2")), parted.filter("n_blocks > 2")
+    dealt = small.select("node", "check", "rep", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("long").alias("label"))
+    links = links_of(texts, dealt, n, percent)
+    if large.limit(1).count():
+        links = links.unionByName(large_links(texts, large, n, percent))
     final = components(links).select(F.col("node").alias("rep"), F.col("component"))
-    facts = nodes.join(final, "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    linked = known.join(facts, "node").select("doc_id", "n_shingles", "component_id")
+    facts = nodes.join(final, "rep", "left").select("node", "check", "copies", F.coalesce("component", "rep").alias("component_id"))
+    linked = attach(known, facts, ["node", "check"], "copies", hot_bound(known.count())).select("doc_id", "n_shingles", "component_id")
     alone = table.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

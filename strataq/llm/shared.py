@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, and connected components over them."""
+"""Tables in the folder that driver and executors share, joins that split hot keys, and connected components."""
 
 from __future__ import annotations
 
@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key of more rows than this, and than a thousandth of all rows, is hot: at most ``HOT_KEYS`` keys are.
+LEAST_HOT, HOT_KEYS = 50, 1000
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a temporary one on one machine (a local master, as in
+    tests); on a cluster, whose machines share no such folder, it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/strataq-shared"
     return named.rstrip("/")
 
@@ -31,9 +37,26 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hot_bound(total: int) -> int:
+    """The most rows of a key that isn't hot among ``total`` rows."""
+    return max(LEAST_HOT, -(-total // HOT_KEYS))
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], times: str, bound: int) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row for each key), null where it has none; ``facts`` is dropped of
+    ``times``, which counts a key's rows in ``rows``.
+
+    Facts of keys with more than ``bound`` rows, of which there are ``HOT_KEYS`` at most (see ``hot_bound``), are
+    broadcast, so that the rows of a hot key stay where they are; other rows are shuffled by key, few of each."""
+    facts = facts.withColumn("__hot", F.col(times) > bound)
+    hot = facts.filter("__hot").drop(times)
+    met = rows.join(F.broadcast(hot), keys, "left")
+    cold = met.filter("__hot is null").select(*rows.columns).join(facts.filter("not __hot").drop(times), keys, "left")
+    return met.filter("__hot").drop("__hot").unionByName(cold.drop("__hot"))
+
+
 def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.count_distinct("hi")).first()
-    return tuple(row)
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -41,17 +64,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. ("Connected Components in MapReduce and
     Beyond") as aggregations and joins until the edges no longer change; each round is stored in the shared folder
-    and the round before removed. Nulls and loops are dropped."""
+    and the round before removed. With edges as (lo, hi), the large step moves an edge's lower end to that end's own
+    smallest neighbour, the small step ties the lower ends of a node to the smallest of them; a node of many edges is
+    met by broadcast (``attach``), and a node that has only one lower end is left out. Nulls and loops are dropped."""
     spark = edges.sparkSession
     ordered = edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     now, path = store(ordered)
     state = _state(now)
     for _ in range(most_rounds):
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        met = large.join(low, "hi")
+        bound = hot_bound(state[0])
+        below = now.select(F.col("hi").alias("lo"), F.col("lo").alias("m"), F.lit(0).alias("n"))
+        above = now.select("lo", F.lit(None).cast("long").alias("m"), F.lit(1).alias("n"))
+        ends = below.unionByName(above).groupBy("lo").agg(F.min("m").alias("m"), F.sum("n").alias("n"))
+        moved = attach(now, ends.filter((F.col("n") > bound) | (F.col("m").isNotNull() & (F.col("n") > 0))), ["lo"], "n", bound)
+        large = moved.select(F.coalesce("m", "lo").alias("lo"), "hi").distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = attach(large, low.filter("n > 1"), ["hi"], "n", bound)
         small = met.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
         after, new_path = store(small)
         new_state = _state(after)

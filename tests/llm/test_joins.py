@@ -140,3 +140,77 @@ def test_embedding_bounds():
 
 def test_embedding_empty(spark):
     assert embedding_dedup.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    """A group far above a block: copies of one text with a few changes each, a second text that shares words with them, and
+    chains whose ends don't link."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 3000)
+    monkeypatch.setattr(jaccard_join, "FEW", 10)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    other = base[:30] + [f"o{k}" for k in range(40)]
+    texts = []
+    for k in range(150):
+        copy = list(base if k % 3 else other)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(500)}"
+        texts.append(" ".join(copy))
+    chain = [f"c{k}" for k in range(80)]
+    texts += [" ".join(chain[k : k + 60]) for k in range(0, 20, 2)]
+    sets = [shingles(t, 3) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    want = parts(len(sets), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < 100
+
+
+def test_very_long_texts_join(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    texts = [" ".join(words), " ".join(words[:140_000] + ["y"] * 3), "a b c"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (149_998, 0), 1: (140_001, 0), 2: (1, 2)}
+
+
+def test_many_short_sets_of_one_group():
+    """The walk follows only the sets that share rare tokens: no work in the square of a group."""
+    import time
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**62, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, 20, replace=False)) for _ in range(40_000)]
+    began = time.time()
+    assert len(set(jaccard_join.trie_components(sets, 80).tolist())) == 40_000
+    assert time.time() - began < 30
+
+
+def test_trie_components_against_brute_force():
+    rng = np.random.default_rng(9)
+    for percent in (50, 80, 90):
+        for n, pool in ((60, 12), (60, 30), (80, 200)):
+            sets = [np.unique(rng.integers(0, pool, int(rng.integers(1, 14)))).astype(np.uint64) for _ in range(n)]
+            pairs = [(a, b) for a in range(n) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+            assert jaccard_join.trie_components(sets, percent).tolist() == parts(n, pairs)
+            labels = [k % 7 for k in range(n)]
+            known = [(a, b) for a in range(n) for b in range(a) if labels[a] == labels[b]]
+            assert jaccard_join.trie_components(sets, percent, labels).tolist() == parts(n, pairs + known)
+
+
+def test_attach_equals_a_left_join(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(300)] + [(2, 0), (3, 1), (None, 2)] + [(9, k) for k in range(80)], "k long, v long")
+    facts = spark.createDataFrame([(1, "a", 300), (2, "b", 1), (7, "c", 0)], "k long, f string, n long")
+    got = sorted((str(r.k), r.v, str(r.f)) for r in shared.attach(rows, facts, ["k"], "n", 50).collect())
+    assert got == sorted((str(r.k), r.v, {1: "a", 2: "b"}.get(r.k, "None")) for r in rows.collect())
+
+
+def test_no_folder_on_a_cluster():
+    class Far:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        shared.folder(Far)
