@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text handled at a time inside one Arrow batch; bounds a worker's memory.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 def with_result(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
@@ -18,13 +19,19 @@ def with_result(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     of these names (in any case) is replaced."""
     taken = {n.lower() for n in names}
     keep = [c for c in df.columns if c.lower() not in taken]
-    hold = "__result"
-    while hold in df.columns:
-        hold += "_"
+    hold = free_name(df, "__result")
     out = df.withColumn(hold, result)
     return out.select(*[quoted(c) for c in keep], *[F.col(hold)[n].alias(n) for n in names])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and back-quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -32,25 +39,31 @@ def quoted(name: str) -> Column:
 
 def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str | None]]:
     """Consecutive runs of a string array as Python strings, each of about ``most`` characters."""
-    start, total = 0, len(texts)
-    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for start, end in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most):
+        yield texts.slice(start, end - start).to_pylist()
+
+
+def runs(lengths: np.ndarray, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, end) of consecutive runs of lengths that sum to ``most`` at most; a longer one is a run of its own."""
+    start, total = 0, len(lengths)
     while start < total:
         end, size = start, 0
         while end < total and (end == start or size + lengths[end] <= most):
             size += int(lengths[end])
             end += 1
-        yield texts.slice(start, end - start).to_pylist()
+        yield start, end
         start = end
 
 
 def array_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
     """An Arrow UDF over one string column. ``make`` runs once in each task and returns the function that
-    maps a list of texts to an Arrow array of as many values; batches are cut into bounded slices."""
+    maps a list of texts to an Arrow array of as many values; batches are cut into bounded slices, and each slice's result
+    leaves the worker before the next is made."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            parts = [work(texts) for texts in slices(batch)]
-            yield pa.concat_arrays(parts) if parts else work([])
+            for texts in slices(batch):
+                yield work(texts)
 
     return F.arrow_udf(run, kind)

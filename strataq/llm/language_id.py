@@ -10,9 +10,11 @@ bound; the number of labelled rows is counted first). Language priors are unifor
 that holds most of the corpus doesn't win short texts.
 
 Defined cases: null text, or a text without a letter: ``und`` with score 0. Rows without a language never
-train. Without any training row every text is ``und``. Texts are taken whole. Equal texts have equal
-results: log-probabilities are fixed-point integers, so sums don't depend on order. Ties go to the
-language that sorts first. Other columns pass through; columns named like outputs are replaced.
+train. Without any training row every text is ``und``. Texts are taken whole, however long: every n-gram of
+a text counts once. Equal texts have equal results: log-probabilities are fixed-point integers, so sums
+don't depend on order. Ties go to the language that sorts first. Repeated rows train as often as they
+stand there. An empty table gives no rows. Other columns pass through; columns named like outputs are
+replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 BLOCK = 1 << 12
 FIXED = 1 << 12
-WINDOW = 1 << 19
+#: Code points of a text that are handled at a time; the last ones of a piece stand again before the next, so that every
+#: n-gram counts once, whatever the piece.
+PIECE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -42,34 +46,63 @@ def letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 32 for c in range(sys.maxunicode + 1)], np.uint32)
 
 
-def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CSR view of a batch: bucket of each n-gram, the start of each text's run, and its number of letters.
-
-    Lower-cased texts with all but letters as single spaces; n-grams never leave a text."""
-    parts, of_text = [], []
-    for k, t in enumerate(texts):  # n-grams don't cross the ends of windows of WINDOW characters
-        t = (t or "").lower()
-        for at in range(0, max(1, len(t)), WINDOW):
-            parts.append(f" {t[at : at + WINDOW]} ")
-            of_text.append(k)
-    codes = letters()[np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)]
-    owner = np.repeat(np.arange(len(parts), dtype=np.int32), np.fromiter(map(len, parts), np.int64, len(parts)))
+def tidy(text: str | None) -> np.ndarray:
+    """Code points of a lower-cased text between two spaces, where all but letters are single spaces."""
+    codes = letters()[np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)]
     blank = codes == 32
-    keep = ~(blank & np.concatenate([[False], blank[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]]))
-    codes, owner, blank = codes[keep].astype(np.uint64), owner[keep], blank[keep]
-    texts_of = np.array(of_text, np.int32)
-    n_letters = np.bincount(texts_of[owner[~blank]], minlength=len(texts))
-    found, of = [], []
+    return codes[~(blank & np.concatenate([[False], blank[:-1]]))]
+
+
+def _hashed(codes: np.ndarray, owner: np.ndarray, fresh: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, owner) of the n-grams of one owner each that end at a ``fresh`` code point, for each order."""
+    codes, blank = codes.astype(np.uint64), codes == 32
     h = np.zeros(len(codes), np.uint64)
     for n in range(1, max(ORDERS) + 1):
+        if len(codes) < n:
+            return
         h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(n)
         if n in ORDERS:
-            ok = owner[: len(h)] == owner[n - 1 :]
+            ok = (owner[: len(h)] == owner[n - 1 :]) & fresh[n - 1 :]
             ok &= ~blank[: len(h)] if n == 1 else True
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((mixed >> np.uint64(64 - buckets.bit_length() + 1))[ok].astype(np.int32))
-            of.append(texts_of[owner[: len(h)][ok]])
-    return np.concatenate(found), np.concatenate(of), n_letters
+            mixed = ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15))[ok]
+            yield (mixed >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32), owner[: len(h)][ok]
+
+
+def gram_parts(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """CSR views of a batch: the bucket of each n-gram, its text, and the number of letters of each text, in parts of about
+    ``PIECE`` code points. An n-gram never leaves its text, and each counts once, also where a long text is in several parts."""
+    most = max(ORDERS) - 1
+    held: list[tuple[int, np.ndarray, int]] = []  # text, code points, how many of them an earlier part has counted
+    size = 0
+
+    def part() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.concatenate([c for _, c, _ in held])
+        lens = [len(c) for _, c, _ in held]
+        owner = np.repeat(np.array([k for k, _, _ in held], np.int32), lens)
+        fresh = np.ones(len(codes), bool)
+        for at, (_, _, known) in zip(np.cumsum([0, *lens[:-1]]).tolist(), held):
+            fresh[at : at + known] = False
+        n_letters = np.bincount(owner[(codes != 32) & fresh], minlength=len(texts))
+        found = list(_hashed(codes, owner, fresh, buckets))
+        return np.concatenate([b for b, _ in found]), np.concatenate([o for _, o in found]), n_letters
+
+    for k, text in enumerate(texts):
+        codes = tidy(text)
+        for at in range(0, len(codes), PIECE):
+            before = min(at, most)
+            held.append((k, codes[at - before : at + PIECE], before))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                yield part()
+                held, size = [], 0
+    if held:
+        yield part()
+
+
+def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All parts of ``gram_parts`` in one."""
+    found = list(gram_parts(texts, buckets)) or [(np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(len(texts), np.int64))]
+    return np.concatenate([b for b, *_ in found]), np.concatenate([o for _, o, _ in found]), np.sum([n for *_, n in found], axis=0)
 
 
 def count_matrix(rows: DataFrame, text: str, lang: str) -> DataFrame:
@@ -83,10 +116,10 @@ def count_matrix(rows: DataFrame, text: str, lang: str) -> DataFrame:
             for texts in slices(batch.column(0)):
                 own = np.array(langs[at : at + len(texts)], object)
                 at += len(texts)
-                bucket, owner, _ = grams(texts)
-                for name in sorted(set(own)):
-                    mine = bucket[(own == name)[owner]]
-                    totals[name] = totals.get(name, 0) + np.bincount(mine, minlength=BUCKETS)
+                for bucket, owner, _ in gram_parts(texts):
+                    for name in sorted(set(own)):
+                        mine = bucket[(own == name)[owner]]
+                        totals[name] = totals.get(name, 0) + np.bincount(mine, minlength=BUCKETS)
         for name, total in totals.items():
             cut = total.reshape(-1, BLOCK)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(cut), "block": np.arange(len(cut), dtype=np.int32), "counts": [x.astype(np.int64) for x in cut]})
@@ -120,10 +153,11 @@ def scorer(names: list[str], matrix: np.ndarray, spark):
         langs, logs = held.value
 
         def work(texts: list[str | None]) -> pa.Array:
-            bucket, owner, n_letters = grams(texts)
-            sums = np.zeros((len(texts), max(1, len(langs))))
-            for k in range(len(langs)):
-                sums[:, k] = np.bincount(owner, weights=logs[:, k][bucket], minlength=len(texts))
+            sums, n_letters = np.zeros((len(texts), max(1, len(langs)))), np.zeros(len(texts), np.int64)
+            for bucket, owner, some in gram_parts(texts):
+                n_letters += some
+                for k in range(len(langs)):
+                    sums[:, k] += np.bincount(owner, weights=logs[:, k][bucket], minlength=len(texts))
             best = sums.argmax(1)
             over = np.exp(np.clip((sums - sums.max(1, keepdims=True)) / FIXED, -700, 0))
             score = np.round(1 / over.sum(1), 6)
