@@ -4,11 +4,14 @@ Learning (on at most about ``max_train_rows`` labelled rows, drawn by a hash of
 word beginnings whose document counts differ between toxic and clean texts with a log-likelihood ratio above ``SURE``
 become the lexicon. Matching: the automaton of words within one edit of a word walks the trie of terms; entries that are
 word beginnings match exactly and accept any ending. Context: a window about each hit tells quoted or reported terms
-from abuse. The counts of hits by kind and context feed a logistic regression.
+from abuse; an apostrophe inside a word is no quotation mark. The counts of hits by kind and context feed a logistic regression.
+
+The lexicon takes every entry that is sure enough. Each stands in four of the training texts at least, so these bound it.
 
 Defined cases: null and empty texts have no hits and the score of such texts; with no toxic or no clean row to learn
-from the lexicon is empty and every score is the share of toxic rows (0 without rows). Texts are taken whole. Equal
-texts have equal scores. Repeated labels of an id: the highest counts. Other columns pass through.
+from the lexicon is empty and every score is the share of toxic rows (0 without rows). Texts are taken whole, however long.
+Equal texts have equal scores. Repeated labels of an id: the highest counts; repeated rows of an id all train. An empty table
+gives no rows. Other columns pass through; ``score`` and ``predicted`` (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from .shared import store
 
 SURE = 20.0
 LEAN = 3.0
-#: Entries of the lexicon at most, by how sure they are: the driver's and each task's bound.
-ENTRIES = 4000
 STEMS = range(4, 8)
 #: Letters of terms that may be misspelled.
 FUZZY = 5
@@ -37,7 +38,8 @@ WINDOW = 48
 WORDS = 300_000
 KINDS = ("exact", "fuzzy", "stem")
 _WORD = re.compile(r"\w+")
-_QUOTES = "\"“”„«»‘’'`"
+#: Quotation marks; apostrophes only where they don't stand inside a word.
+_QUOTE = re.compile(r"[\"“”„«»‘`]|(?<!\w)['’]|['’](?!\w)")
 #: Words that report speech, and words that address someone (fixed lists; English, German, French, Spanish).
 REPORTS = frozenset("said says wrote written quote quoted quotes called term word slur sagte schrieb zitat zitiert wort dit écrit cite mot terme dijo escribió cita palabra término".split())
 ADDRESS = frozenset("you your youre u du dich dein deine ihr euch tu toi ton ta vous votre tú ti vos usted".split())
@@ -116,12 +118,16 @@ def context(text: str, start: int, end: int) -> tuple[bool, bool]:
     """(quoted, addressed): whether a hit stands in quotation marks or after a word of reporting, and whether its window
     addresses someone."""
     left, right = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    marks = sum(left.count(q) for q in _QUOTES)
     near = set(_WORD.findall(left)[-4:])
-    quote = (marks % 2 == 1 and any(q in right for q in _QUOTES)) or bool(near & REPORTS)
+    quote = bool(near & REPORTS) or (_marks(text, max(0, start - WINDOW), start) % 2 == 1 and _marks(text, end, min(len(text), end + WINDOW)) > 0)
     return quote, bool((near | set(_WORD.findall(right)[:4])) & ADDRESS)
 
 
+def _marks(text: str, start: int, end: int) -> int:
+    """Quotation marks of a stretch, judged with the characters about it."""
+    return sum(m.start() < end for m in _QUOTE.finditer(text, start, min(len(text), end + 1)))
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """ln(1 + hits) by kind, plain and quoted; ln(1 + hits that address someone); hits by words."""
     low = (text or "").lower()
@@ -204,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sure = 2 * (part(t, float(bad)) + part(c, float(good)))
     lean = F.log((t + 0.5) / (bad + 1.0)) - F.log((c + 0.5) / (good + 1.0))
     top = term_counts(rows).filter((F.col("toxic") >= 4)).withColumns({"sure": sure, "lean": lean}).filter((F.col("sure") >= SURE) & (F.col("lean") >= F.when(F.col("stem"), LEAN + 1).otherwise(LEAN)))
-    top = top.orderBy(F.desc("sure"), "term", "stem").limit(ENTRIES).collect()
+    top = top.select("term", "stem").collect()
     stems: list[str] = []
     for s in sorted({r.term for r in top if r.stem}, key=lambda s: (len(s), s)):
         if not s.startswith(tuple(stems)):
@@ -254,7 +260,8 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text") -> DataFrame
     """``df`` with ``score`` and ``predicted`` (1 where the score is 0.5 or more)."""
     kind = F.struct(scorer(model, df.sparkSession)(quoted(text)).alias("score"))
     out = with_result(df, kind, ["score"])
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [quoted(c) for c in out.columns if c.lower() != "predicted"]
+    return out.select(*kept, (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(doc_id: Column) -> Column:
