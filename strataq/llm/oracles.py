@@ -37,18 +37,27 @@ links AS (SELECT a, b FROM c JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b W
 
 
 def source_mixing() -> str:
-    steps, last = [], "w0"
-    for k in range(source_mix.ROUNDS):
-        for m in source_mix.MARGINS:
-            now = f"w{k}_{m}"
-            steps.append(f"{now} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 THEN weight * goal_{m} / sum(weight) OVER (PARTITION BY {m}) ELSE 0 END AS weight) FROM {last})")
-            last = now
-    goals = ", ".join(f"pow(sum(n_tokens) OVER (PARTITION BY {m}), 0.7::DOUBLE) / (SELECT sum(pow(t, 0.7::DOUBLE)) FROM (SELECT sum(n_tokens) AS t FROM cells GROUP BY {m})) AS goal_{m}" for m in source_mix.MARGINS)
-    return f"""WITH d AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(CASE WHEN contains(text, 'License') OR contains(text, 'rights reserved') THEN 'licence' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact'
+    """The cells are raked in a recursive query: each of its rounds fits the margins in turn, full cells held."""
+    parts, wanted, joins = [], [], []
+    for m in source_mix.MARGINS:
+        parts.append(f"""a_{m} AS (SELECT {m}, sum(n) AS a FROM cells GROUP BY 1), g_{m} AS (SELECT {m}, a, pow(a, 0.7::DOUBLE) / (SELECT sum(pow(a, 0.7::DOUBLE)) FROM a_{m}) AS g FROM a_{m}),
+f_{m} AS (SELECT max(f) AS f FROM (SELECT ((SELECT budget FROM b) - coalesce(sum(a) OVER (ORDER BY a / g, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(g) OVER (ORDER BY a / g DESC, {m} DESC ROWS UNBOUNDED PRECEDING) AS f FROM g_{m}))""")
+        wanted.append(f"least(g_{m}.a, (SELECT f FROM f_{m}) * g_{m}.g) AS to_{m}")
+        joins.append(f"JOIN g_{m} USING ({m})")
+    step = "it"
+    for m in source_mix.MARGINS:
+        sums = f"sum(CASE WHEN part >= n THEN n ELSE 0 END) OVER (PARTITION BY {m}) AS held, sum(CASE WHEN part >= n THEN 0 ELSE part END) OVER (PARTITION BY {m}) AS open_"
+        where = f" WHERE off >= {source_mix.SETTLED}::DOUBLE AND round < {source_mix.ROUNDS}" if step == "it" else ""
+        step = f"(SELECT * EXCLUDE (held, open_) REPLACE (part * CASE WHEN to_{m} > held AND open_ > 0 THEN (to_{m} - held) / open_ ELSE to_{m} / (held + open_) END AS part) FROM (SELECT *, {sums} FROM {step}{where}))"
+    errors = ", ".join(f"abs(sum(least(n, part)) OVER (PARTITION BY {m}) / to_{m} - 1) AS e_{m}" for m in source_mix.MARGINS)
+    worst = ", ".join(f"max(e_{m}) OVER ()" for m in source_mix.MARGINS)
+    to = ", ".join(f"to_{m}" for m in source_mix.MARGINS)
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(CASE WHEN contains(text, 'License') OR contains(text, 'rights reserved') THEN 'licence' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact'
 WHEN contains(text, ' | ') THEN 'table' WHEN length(text) < 1000 THEN 'note' ELSE 'article' END, '') AS topic, greatest(1, (coalesce(length(text), 0) + 3) // 4)::BIGINT AS tokens FROM documents),
-cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS n_tokens FROM d GROUP BY ALL), w0 AS (SELECT *, n_tokens::DOUBLE AS weight, {goals} FROM cells),
-{', '.join(steps)},
-r AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, 0.5::DOUBLE * (SELECT sum(n_tokens) FROM cells) * (weight / (SELECT sum(weight) FROM {last})) / n_tokens), 9) AS p FROM {last})
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n FROM d GROUP BY ALL), b AS (SELECT 0.5::DOUBLE * sum(n) AS budget FROM cells), {', '.join(parts)},
+it AS (SELECT source, lang, topic, n, {', '.join(wanted)}, n AS part, 0 AS round, 1::DOUBLE AS off FROM cells {' '.join(joins)}
+UNION ALL SELECT source, lang, topic, n, {to}, part, round + 1 AS round, greatest({worst}) AS off FROM (SELECT *, {errors} FROM {step}) AS raked),
+r AS (SELECT source, lang, topic, round(least(1.0::DOUBLE, part / n), 9) AS p FROM it WHERE round = (SELECT max(round) FROM it))
 SELECT doc_id, d.source, d.lang, d.topic, tokens AS n_tokens, round(p, 6) AS probability FROM d JOIN r ON r.source = d.source AND r.lang = d.lang AND r.topic = d.topic WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::UBIGINT::DOUBLE / 281474976710656 < p"""
 
 
