@@ -5,9 +5,12 @@ them in turn, each stream has a header packet, and pages are interleaved by time
 page's checksum, reassembles packets from lacing values (also across pages), separates the streams by
 serial number and gives packets times from the granule positions.
 
+A stream's setup packet names the packet length, so media of any packet length can be read back.
+
 Defined cases: a null value counts as empty; damaged, truncated or foreign bytes raise ``OggError`` (or, with
-``on_error='null'``, give null columns); serial numbers derive from the payload, so equal values have equal
-media. Values are taken whole.
+``on_error='null'``, give null columns), null media give nulls; serial numbers derive from the payload, so equal values
+have equal media. Values are taken whole, however long. An empty table gives no rows. Other columns pass through; one that is
+named like an output (in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import quoted, with_result
+from .arrow import quoted, slices, with_result
 
 CAPTURE = b"OggS"
-MAGIC = b"PCM8\0\1"
+MAGIC = b"PCM8\0\2"
 CONTINUED, FIRST, LAST = 1, 2, 4
 RATE = 8000
 PACKET = 4000
 UNIT = 192
 HEADER = struct.Struct("<4sBBqIIIB")
-SETUP = struct.Struct("<6sBBIQ")
+#: Magic, index of the stream, number of streams, samples a second, samples in all, samples of a packet.
+SETUP = struct.Struct("<6sBBIQI")
 
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -86,11 +90,13 @@ class Writer:
 
 def mux(payload: bytes, rate: int = RATE, packet: int = PACKET) -> bytes:
     """One physical stream of two logical streams; packet k goes to stream k mod 2, its granule is the sample after it."""
+    if packet < 1:
+        raise OggError("a packet holds one sample at least")
     seed = zlib.crc32(payload)
     streams = [Writer(seed), Writer(seed ^ 0x5A5A5A5A)]
     out: list[bytes] = []
     for k, s in enumerate(streams):
-        list(s.packet(SETUP.pack(MAGIC, k, len(streams), rate, len(payload)), 0))
+        list(s.packet(SETUP.pack(MAGIC, k, len(streams), rate, len(payload), packet), 0))
         out.append(s.page(FIRST))
     for k, at in enumerate(range(0, len(payload), packet)):
         data = payload[at : at + packet]
@@ -135,7 +141,7 @@ def pages(data: bytes) -> Iterator[tuple[int, int, int, bytes, memoryview]]:
 
 def demux(data: bytes) -> Media:
     parts: dict[int, list[memoryview]] = {}
-    info: dict[int, tuple[int, int, int, int]] = {}
+    info: dict[int, tuple[int, int, int, int, int]] = {}
     found: list[tuple[int, int, bytes]] = []
     waiting: dict[int, list[int]] = {}
     ended: set[int] = set()
@@ -157,27 +163,27 @@ def demux(data: bytes) -> Media:
                 own.clear()
                 at, size = at + size, 0
                 if serial not in info:
-                    magic, index, n, rate, total = SETUP.unpack(packet) if len(packet) == SETUP.size else (b"", 0, 0, 0, 0)
+                    magic, *fields = SETUP.unpack(packet) if len(packet) == SETUP.size else (b"",)
                     if magic != MAGIC:
                         raise OggError("unknown stream")
-                    info[serial] = (index, n, rate, total)
+                    info[serial] = tuple(fields)
                 else:
                     ends.append(len(found))
                     found.append((serial, -1, packet))
         if size:
             own.append(body[at : at + size])
         if granule >= 0 and ends:  # the last packet that ends here ends at the granule; earlier ones count back
-            index, n, rate, total = info[serial]
+            n, room = info[serial][1], info[serial][4]
             gap = granule
             for k in reversed(ends):
                 found[k] = (serial, gap, found[k][2])
-                gap -= len(found[k][2]) + (n - 1) * PACKET  # between a stream's packets lie those of the others
+                gap -= len(found[k][2]) + (n - 1) * room  # between a stream's packets lie those of the others
             ends.clear()
         if flags & LAST:
             ended.add(serial)
     if not info or ended != set(info) or any(parts.values()) or any(waiting.values()):
         raise OggError("stream without its end")
-    rate, total = next(iter(info.values()))[2:]
+    rate, total = next(iter(info.values()))[2:4]
     found.sort(key=lambda x: (x[1], info[x[0]][0]))
     payload = b"".join(x[2] for x in found)
     if len(payload) != total or any(g != e for (_, g, p), e in zip(found, np.cumsum([len(x[2]) for x in found]))):
@@ -204,8 +210,8 @@ def encode_media(df: DataFrame, text: str = "text", unit: int = UNIT) -> DataFra
     """``df`` with ``n_bytes`` (UTF-8 bytes of the text) and ``media`` (binary; the padded bytes in Ogg)."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.to_pylist()]
+        for texts in (x for batch in batches for x in slices(batch)):
+            raw = [(t or "").encode() for t in texts]
             yield pa.StructArray.from_arrays([pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(pad(x, unit)) for x in raw], pa.binary())], ["n_bytes", "media"])
 
     return with_result(df, F.arrow_udf(run, "struct<n_bytes:long,media:binary>")(quoted(text)), ["n_bytes", "media"])
@@ -219,10 +225,9 @@ def decode_media(df: DataFrame, media: str = "media", on_error: str = "raise") -
     and stream. Null media give nulls."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for values in (x for batch in batches for x in slices(batch)):
             rows = []
-            for value in batch:
-                data = value.as_py()
+            for data in values:
                 try:
                     m = None if data is None else demux(data)
                 except OggError:
