@@ -4,13 +4,22 @@ A small sandboxed template language is parsed to a syntax tree, constants are fo
 Python closures that render a conversation and record generation markers (the spans under the loss mask).
 
 Language: ``{{ expr }}``; ``{% for x in expr %}..{% endfor %}``; ``{% if expr %}..{% elif expr %}..{% else %}..{% endif %}``;
-``{% set x = expr %}``; ``{% generation %}..{% endgeneration %}``; ``{# comment #}``. Expressions: strings, integers, true,
+``{% set x = expr %}``; ``{% generation %}..{% endgeneration %}``; ``{# comment #}``; a ``-`` inside a tag's brace, as in ``{%-`` and
+``-}}``, takes away the white space of the template on that side. Expressions: strings, integers, true,
 false, none, names, ``a.b`` and ``a['b']`` (keys of mappings only), ``loop.index/index0/first/last``, ``~`` and ``+``, comparisons,
 ``in``, and/or/not, parentheses, and the filters ``escape upper lower trim length default``. There is no call, no attribute of
 a Python object, and no loop but over a given list, so a template ends and reaches nothing outside its context.
 
 ``escape`` breaks every control string inside a text with a backslash after its first character and doubles backslashes, so
 the text can't hold a control string, and ``unescape`` gives the exact text back.
+
+A template that can't be read or computed raises ``TemplateError``: when it is compiled, as far as it is constant, else for the
+conversation at hand.
+
+Defined cases: null roles and texts are empty; a conversation without turns formats as the template has it; a null id is an id
+of its own; equal (turn, role, text) rows stay; turns of equal numbers are ordered by role and text. Texts are taken whole,
+however long; one conversation has to fit in a task. An empty table gives no rows. Other columns pass through; one named like an
+output (``formatted``, ``loss_spans``, in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +28,13 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import quoted
+from .arrow import quoted, runs, with_result
 
 CONTROLS = ("<turn>", "<says>", "</turn>", "<end>")
 #: Turns as ``<turn>role<says>text</turn>``; what an assistant says is under the loss mask.
@@ -50,7 +61,7 @@ def unescape(text: str) -> str:
 
 # --- parsing ---------------------------------------------------------------------------------------------------------
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_TAG = re.compile(r"\{\{(?P<out>.*?)\}\}|\{%(?P<tag>.*?)%\}|\{#(?P<note>.*?)#\}", re.S)
 _TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-<>+~().\[\]|,]))")
 _FILTERS: dict[str, Callable] = {"escape": escape, "upper": str.upper, "lower": str.lower, "trim": str.strip, "length": len, "default": lambda v, d="": d if v is None else v}
 _CONSTANT = {"true": True, "false": False, "none": None}
@@ -170,17 +181,25 @@ class _Expr:
 def parse(template: str) -> tuple:
     """The syntax tree: a ``block`` of ``text``, ``out``, ``set``, ``for``, ``if`` and ``generation`` nodes."""
     stack: list[tuple[str, Any, list]] = [("", None, [])]
-    at = 0
+    at, bare = 0, False
+
+    def plain(text: str, trimmed: bool) -> None:
+        text = text.lstrip() if bare else text
+        text = text.rstrip() if trimmed else text
+        if text:
+            stack[-1][2].append(("text", text))
+
     for m in _TAG.finditer(template):
-        if m.start() > at:
-            stack[-1][2].append(("text", template[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            stack[-1][2].append(("out", _Expr(m[1]).whole()))
-        elif m[2] is not None:
-            _tag(m[2].strip(), stack)
-    if at < len(template):
-        stack[-1][2].append(("text", template[at:]))
+        inside = m[m.lastgroup]
+        trims = inside.startswith("-")
+        plain(template[at : m.start()], trims)
+        at, bare = m.end(), len(inside) > trims and inside.endswith("-")
+        inside = inside[trims : len(inside) - bare]
+        if m.lastgroup == "out":
+            stack[-1][2].append(("out", _Expr(inside).whole()))
+        elif m.lastgroup == "tag":
+            _tag(inside.strip(), stack)
+    plain(template[at:], False)
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0]} has no end")
     return ("block", *stack[0][2])
@@ -280,10 +299,20 @@ def fold(node: tuple) -> tuple:
         node = (kind, *map(fold, node[1:]))
         args = node[1:]
     if kind not in ("out", "generation", "get") and all(x[0] == "const" for x in args):
-        return ("const", _value(node)({}))
+        return ("const", _computed(_value(node), {}))
     return node
 
 
+def _computed(step: Callable, *args: Any) -> Any:
+    """What a closure gives; a value of the wrong kind is the template's error."""
+    try:
+        return step(*args)
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, AttributeError) as e:
+        raise TemplateError(f"can't compute this: {e}") from e
+
+
 def _value(node: tuple) -> Callable[[dict], Any]:
     """The closure that computes an expression in a context."""
     kind = node[0]
@@ -383,7 +412,7 @@ def compile_template(template: str = TEMPLATE) -> Callable[[list[dict]], tuple[s
 
     def render(messages: list[dict], **context: Any) -> tuple[str, list[tuple[int, int]]]:
         out = _Out()
-        run({**context, "messages": messages}, out)
+        _computed(run, {**context, "messages": messages}, out)
         return "".join(out.parts), out.spans
 
     return render
@@ -421,20 +450,38 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE, turns: str = "
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         render = compile_template(template)
-        for batch in batches:
-            done = [render([dict(m) for m in x or []]) for x in batch.to_pylist()]
+        for part in (x for batch in batches for x in _parts(batch)):
+            done = [render([dict(m) for m in x or []]) for x in part.to_pylist()]
             spans = pa.array([[{"start": a, "end": b} for a, b in d[1]] for d in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.string()), spans], ["formatted", "loss_spans"])
 
     made = F.arrow_udf(run, "struct<formatted:string,loss_spans:array<struct<start:long,end:long>>>")(quoted(turns))
-    return df.withColumn("__f", made).select(*[quoted(c) for c in df.columns if c not in ("formatted", "loss_spans")], "__f.*")
+    return with_result(df, made, ["formatted", "loss_spans"])
+
+
+def _parts(batch: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Slices of an array of conversations of a bounded number of bytes of text (or one conversation)."""
+    values = batch.values
+    size = np.zeros(len(values), np.int64)
+    for k in range(values.type.num_fields):
+        if pa.types.is_string(values.type.field(k).type) or pa.types.is_large_string(values.type.field(k).type):
+            size += pc.fill_null(pc.binary_length(values.field(k)), 0).to_numpy(zero_copy_only=False)
+    past = np.concatenate([[0], np.cumsum(size)])
+    ends = past[batch.offsets.to_numpy(zero_copy_only=False)]
+    for start, end in runs(np.diff(ends)):
+        yield batch.slice(start, end - start)
+
+
+def _both(texts: pa.Array, marks: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    for start, end in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+        yield texts.slice(start, end - start), marks.slice(start, end - start)
 
 
 def parse_formatted(formatted: Column, spans: Column) -> Column:
     """Struct of what is read back from formatted text: turns (role, text) and the unescaped text under each span."""
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, marks in batches:
+        for texts, marks in (x for batch in batches for x in _both(*batch)):
             turns, loss = [], []
             for t, m in zip(texts.to_pylist(), marks.to_pylist()):
                 turns.append([{"role": r, "text": x} for r, x in read_back(t)])
