@@ -8,8 +8,10 @@ Slots number a shard's rows from 0 without gaps. They come from counts: equal ro
 shuffle, a shard is cut into buckets by a hash, buckets get their offsets from bucket counts, and only rows
 of one bucket are ever sorted together.
 
-Defined cases: a null key counts as key 0; null text has size 1 and checksum 0; repeated rows share a shard
-and have slots of their own; an empty table gives no rows.
+Defined cases: a null key counts as key 0; null values in other columns are values like others; repeated rows
+share a shard and have slots of their own; texts are taken whole; an empty table gives no rows. A column named like
+an output (``shard``, ``slot``, ``grown_shard``, in any case) is replaced; where it is the key or one of ``columns``,
+it is refused.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import free_name, quoted
+
 #: Multiplier of the generator in the published algorithm, as high and low 32 bits.
 MULTIPLIER = 2862933555777941757
 HIGH, LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -60,24 +64,31 @@ def jump_shard(key: str, shards: int) -> Column:
     return F.expr(f"transform(array({short}), s -> cast(if(s.j >= {shards}, s.b, ({whole}).b) as int))[0]")
 
 
-def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 8, sizes: dict[str, str] | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
-    """One row per row of ``df``: the key, the columns ``sizes`` (name to SQL), ``shard``, ``grown_shard`` (with one more
-    shard) and ``slot`` within its shard. Slots follow (bucket, key, columns of ``sizes``)."""
-    sizes = sizes or {}
-    names = [key, *sizes]
-    quoted = "`" + key.replace("`", "``") + "`"
-    rows = df.select(F.expr(quoted).alias(key), *[F.expr(v).alias(n) for n, v in sizes.items()])
-    equal = rows.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count(F.lit(1)).alias("__n"))
+OUTPUT = ("shard", "slot", "grown_shard")
+
+
+def shard_rows(df: DataFrame, key: str = "doc_id", shards: int = 8, columns: dict[str, str] | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
+    """The rows of ``df`` with ``shard``, ``grown_shard`` (with one more shard) and ``slot`` within its shard. With ``columns`` (name to
+    SQL) rows have the key and these columns only, and others aren't read. Slots follow (bucket, key, hash, other columns)."""
+    if taken := {c.lower() for c in (key, *(columns or ()))} & set(OUTPUT):
+        raise ValueError(f"{sorted(taken)} would be there twice")
+    if columns is None:
+        rows = df.select(*[quoted(c) for c in df.columns if c.lower() not in OUTPUT])
+    else:
+        rows = df.select(quoted(key), *[F.expr(v).alias(n) for n, v in columns.items()])
+    names = [quoted(c) for c in rows.columns]
+    times, bucket, digest, sums, start, at, run = (free_name(rows, f"__{x}") for x in ("times", "bucket", "digest", "sums", "start", "at", "run"))
+    equal = rows.groupBy(*names).agg(F.count(F.lit(1)).alias(times)).withColumn(digest, F.xxhash64(*names) if columns is None else F.lit(0))
     buckets = max(1, -(-df.count() // (rows_per_bucket * shards)))
-    equal = equal.withColumns({"shard": jump_shard(quoted, shards), "grown_shard": jump_shard(quoted, shards + 1), "__bucket": F.pmod(F.crc32(F.concat_ws("|", *[F.col(f"`{n}`").cast("string") for n in names]).cast("binary")), F.lit(buckets))})
-    per = equal.groupBy("shard", "__bucket").agg(F.sum("__n").alias("__sum"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    order = [F.col(f"`{n}`").asc_nulls_first() for n in names]
-    within = Window.partitionBy("shard", "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = equal.withColumn("__at", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    joined = placed.join(starts, (F.col("shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
-    first = F.col("__start") + F.col("__at")
-    runs = joined.withColumn("__run", F.explode(F.sequence(first, first + F.col("__n") - 1, F.lit(RUN))))
-    numbered = runs.withColumn("slot", F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + RUN, first + F.col("__n")) - 1)))
-    return numbered.select(*[F.col(f"`{n}`") for n in names], "shard", "slot", "grown_shard")
+    sql = "`" + key.replace("`", "``") + "`"
+    equal = equal.withColumns({"shard": jump_shard(sql, shards), "grown_shard": jump_shard(sql, shards + 1), bucket: F.pmod(F.xxhash64(*names), F.lit(buckets))})
+    per = equal.groupBy("shard", bucket).agg(F.sum(times).alias(sums))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("shard", bucket, F.coalesce(F.sum(sums).over(before), F.lit(0)).alias(start))
+    order = [quoted(key).asc_nulls_first(), F.col(digest), *[c.asc_nulls_first() for c in names]]
+    within = Window.partitionBy("shard", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = equal.withColumn(at, F.coalesce(F.sum(times).over(within), F.lit(0))).join(starts, ["shard", bucket])
+    first = F.col(start) + F.col(at)
+    runs = joined.withColumn(run, F.explode(F.sequence(first, first + F.col(times) - 1, F.lit(RUN))))
+    numbered = runs.withColumn("slot", F.explode(F.sequence(F.col(run), F.least(F.col(run) + RUN, first + F.col(times)) - 1)))
+    return numbered.select(*names, "shard", "slot", "grown_shard")
