@@ -9,8 +9,10 @@ The pieces are a public vocabulary's; where it has ranks but no scores, rank r s
 constant. Every byte is a piece, so every pre-token has a path. Ties go to fewer tokens.
 
 Defined cases: null and empty texts have no tokens; pre-tokens beyond ``DEEP`` bytes continue outside the trie with the
-same recurrence; the trie and the table are emptied at ``NODES`` nodes, which results don't depend on. Texts are taken
-whole; equal texts have equal results; other columns pass through.
+same recurrence; the trie and the table are emptied together at ``NODES`` nodes, terminal counts and 16-byte pieces of their
+pre-tokens, which results don't depend on, so a worker's memory is bounded by that and the longest text. Texts are taken
+whole, however long; equal texts have equal results; an empty table gives no rows; other columns pass through, and one named
+like an output (in any case) is replaced.
 """
 
 from __future__ import annotations
@@ -52,6 +54,10 @@ class Trie:
         self.children: list[dict[int, int]] = [{}]
         self.best: list[tuple[float, int]] = [(0.0, 0)]
         self.counts: dict[str, int] = {}
+        self.held = 0
+
+    def full(self) -> bool:
+        return len(self.best) + self.held > NODES
 
     def step(self, word: bytes, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         """The state of the prefix word[:end] from the states of all shorter ones (fewer tokens count as -n)."""
@@ -85,6 +91,7 @@ class Trie:
             path.append(self.step(word, end, path))
         n = -path[-1][1]
         self.counts[token] = n
+        self.held += 1 + len(word) // 16
         return n
 
 
@@ -101,7 +108,7 @@ def counter(vocabulary: str, pattern: str):
             for t in texts:
                 words = find(t) if t else []
                 for w in set(words).difference(trie.counts):
-                    if len(trie.best) > NODES:
+                    if trie.full():
                         trie.clear()
                         for v in set(words):
                             trie.count(v)
