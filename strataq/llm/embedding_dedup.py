@@ -10,9 +10,13 @@ if the vector of the lower cell lies within the threshold's chord of the plane b
 the higher cell as a guest. Cells are cut into blocks, so a cell that holds most vectors is many tiles, not one task.
 Equal vectors are joined to one representative before; a tile emits link counts and a spanning forest, not pairs.
 
+Facts of a vector go back to its rows by two hashes of it (128 bits), so vectors aren't shuffled again, and those of a vector
+that many rows have are broadcast (at most a thousand), so its rows stay where they are.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link
 with nothing. Vectors of different lengths don't link. Rows that repeat an id and vector count as vectors of their own.
-An empty table gives no rows.
+Vectors are taken whole, however long. An empty table gives no rows. Other columns of the input are not returned, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import quoted
-from .shared import components, store
+from .shared import attach, components, hot_bound, store
 
 HOME_BLOCK = 4096
 GUEST_BLOCK = 16384
@@ -91,6 +95,7 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thre
     rows = df.select(quoted(vec_id).cast("long").alias("vec_id"), quoted(vector).alias("vector"))
     fit = usable(F.col("vector")) & F.col("vec_id").isNotNull()
     good = rows.filter(fit)
+    keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(7), F.col("vector")).alias("k2")]
     distinct, _ = store(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     sizes = {r.n: r.many for r in distinct.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("many")).collect()}
     main = max(sizes, key=lambda n: (sizes[n], n), default=0)
@@ -167,8 +172,8 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thre
     groups = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     facts = distinct.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("vector", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(facts, "vector").select("vec_id", "n_links", "component_id")
+    facts = facts.select(*keys, "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = attach(good.select("vec_id", *keys), facts, ["k1", "k2"], "copies", hot_bound(good.count())).select("vec_id", "n_links", "component_id")
     lone = rows.filter(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
