@@ -266,3 +266,91 @@ def test_mix_meets_budget_and_shares_with_full_cells(spark, fraction):
         mine = [r for r in sample if r[f"__{m}"] == v]
         spread = sum(r["__tokens"] ** 2 * (1 - r["__p"]) for r in mine) ** 0.5
         assert abs(sum(r["__tokens"] for r in mine) - share * fraction * total) <= 4 * spread + 1
+
+
+@pytest.mark.parametrize("packet", [1, 254, 255, 500, 8000, 100_000])
+def test_ogg_packet_lengths_are_read_from_the_stream(packet):
+    payload = ogg_media.pad(random.Random(packet).randbytes(3000))
+    m = ogg_media.demux(ogg_media.mux(payload, packet=packet))
+    assert m.payload == payload and sum(n for *_, n in m.packets) == len(payload)
+    with pytest.raises(ogg_media.OggError):
+        ogg_media.mux(payload, packet=0)
+
+
+def test_template_trims_white_space():
+    assert ct.compile_template("a  {%- if true -%}  b  {% endif %} c {{- 'd' -}} \n e {#- x -#} f")([])[0] == "ab   cdef"
+
+
+@pytest.mark.parametrize("bad", ["{{ 1 + 'a' }}", "{{ none | length }}", "{{ 'a' < 1 }}", "{{ 1 in 2 }}"])
+def test_constants_of_wrong_kinds_are_template_errors(bad):
+    with pytest.raises(ct.TemplateError):
+        ct.compile_template(bad)
+
+
+def test_values_of_wrong_kinds_are_template_errors():
+    for bad in ("{{ messages + 1 }}", "{% for x in 'ab' %}{% endfor %}", "{{ missing | length }}"):
+        with pytest.raises(ct.TemplateError):
+            ct.compile_template(bad)([{"role": "a"}])
+
+
+def test_chat_column_clashes_and_no_turns(spark):
+    df = spark.createDataFrame([(1, [], "x", "y"), (2, None, "x", "y")], "conv_id long, turns array<struct<turn:long,role:string,text:string>>, Formatted string, __f string")
+    out = ct.format_conversations(df)
+    assert out.columns == ["conv_id", "turns", "__f", "formatted", "loss_spans"]
+    assert {(r.conv_id, r.formatted, r["__f"]) for r in out.collect()} == {(1, "<end>", "y"), (2, "<end>", "y")}
+
+
+def test_shards_keep_columns(spark):
+    rows = [(k % 40, f"t{k % 3}", None if k % 5 else k) for k in range(200)] + [(None, None, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, more long").repartition(3)
+    out = sharding.shard_rows(df, "doc_id", 4, None, 10).collect()
+    assert sorted(((r.doc_id, r.text, r.more) for r in out), key=str) == sorted(rows, key=str)
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert sharding.shard_rows(df.withColumnRenamed("more", "Slot")).columns == ["doc_id", "text", "shard", "slot", "grown_shard"]
+    with pytest.raises(ValueError):
+        sharding.shard_rows(df.withColumnRenamed("doc_id", "shard"), "shard")
+    with pytest.raises(ValueError):
+        sharding.shard_rows(df, "doc_id", 8, {"slot": "1"})
+
+
+def test_mix_with_clashing_columns(spark):
+    rows = [(k, "x" * (k % 50), "en", f"s{k % 3}", 1, 2) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __P int, __draw int")
+    out = source_mix.mix(df, 0.5)
+    assert out.columns == ["doc_id", "text", "lang", "source", "__draw", "__source", "__lang", "__topic", "__tokens", "__p"]
+    assert 0 < out.count() < 300 and {r["__draw"] for r in out.collect()} == {2}
+
+
+def test_mix_by_given_targets_and_by_shuffled_margins(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "x" * rng.randrange(2000), rng.choice(["en", "de"]), f"s{rng.randrange(4)}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = source_mix.cell_table(source_mix.categorised(df))
+    targets = {"source": {"s0": 2, "s1": 1, "s2": 1}}
+    one = {(r.source, r.lang, r.topic): r.p for r in source_mix.rates(cells, 0.3, source_mix.TEMPER, targets).collect()}
+    assert {s for s, *_ in one} == {"s0", "s1", "s2"}
+    got = {r.value: (r.wanted, r.achieved) for r in source_mix.report(source_mix.rates(cells, 0.3, source_mix.TEMPER, targets)).filter("margin = 'source'").collect()}
+    assert all(abs(a - w) < 1e-6 for w, a in got.values()) and abs(sum(w for w, _ in got.values()) - 1) < 1e-9
+    for few in (0, 1):  # no table in one partition; no margin (or only those of one value) broadcast
+        monkeypatch.setattr(source_mix, "FEW", few)
+        monkeypatch.setattr(source_mix, "ROUNDS", 4 if few else 2)
+        two = {(r.source, r.lang, r.topic): r.p for r in source_mix.rates(cells, 0.3, source_mix.TEMPER, targets).collect()}
+        assert all(abs(one[k] - two[k]) < 1e-2 for k in one)
+
+
+def test_pipeline_run_equals_its_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    done = cp.run(spark, d)
+    assert done.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(*cp.COLUMNS)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, d)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert sorted(map(str, done.collect())) == sorted(map(str, docs.collect())) and done.count() > 20
+    empty = str(tmp_path / "none")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{d}/{name}.parquet").filter("false").write.parquet(f"{empty}/{name}.parquet")
+    assert cp.run(spark, empty).collect() == []

@@ -197,3 +197,42 @@ def test_toxicity_held_out_and_misspelled(spark):
 def test_logistic_of_nothing_to_learn(x, want):
     w, b = toxicity.logistic(np.array([[x], [x]], float), np.array([0.0, 1.0]), np.array([3.0, 3.0]))
     assert abs(1 / (1 + np.exp(-b)) - want) < 1e-6 and w == [0.0]
+
+
+def test_ngrams_of_long_texts_count_once(monkeypatch):
+    rng = random.Random(12)
+    texts_ = ["".join(rng.choice("abc  é.") for _ in range(n)) for n in (5, 700, 0, 49, 50, 51, 3000)] + [None]
+    whole = language_id.grams(texts_)
+    for piece in (1, 7, 50, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        cut = language_id.grams(texts_)
+        assert cut[2].tolist() == whole[2].tolist()
+        assert sorted(zip(cut[0].tolist(), cut[1].tolist())) == sorted(zip(whole[0].tolist(), whole[1].tolist()))
+
+
+def test_apostrophes_inside_words_are_no_quotes():
+    text = "i don't like you idiot it's over"
+    at = text.index("idiot")
+    assert not toxicity.context(text, at, at + 5)[0]
+    for quote in ("'idiot' she heard", "‘idiot’ she heard", '"idiot" she heard'):
+        assert toxicity.context("then " + quote, 6, 11)[0]
+    long = "x" * 60 + "n't a b c d idiot it's"  # the window begins inside a word
+    assert not toxicity.context(long, long.index("idiot"), long.index("idiot") + 5)[0]
+
+
+def test_token_table_is_emptied_by_entries_too(monkeypatch):
+    scores = token_count.pieces(vocabulary("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(token_count, "DEEP", 4)
+    monkeypatch.setattr(token_count, "NODES", 100)
+    trie = token_count.Trie(scores)
+    for k in range(200):
+        trie.count("same" + str(k) * 3)
+        if trie.full():
+            trie.clear()
+        assert len(trie.counts) <= 101
+
+
+def test_outputs_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "text", "x", "y")], "doc_id long, text string, Predicted string, SCORE string")
+    out = toxicity.score_toxicity(df, toxicity.Model(constant=0.25))
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and out.first().predicted == 0
