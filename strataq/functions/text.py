@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,21 +80,24 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*\z", "")
 
 
-def _title(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([None if x is None else x.title() for x in batch.to_pylist()], pa.string())
+#: Letters that have a case, as a character class; and the four letters whose title form isn't their capital, with that form.
+CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
+DIGRAPHS = ("\u01c4\u01c7\u01ca\u01f1", "\u01c5\u01c8\u01cb\u01f2")
 
 
 def title_case(c: Column) -> Column:
-    """A capital after every non-letter, small letters else; native for ASCII, Arrow for the rest."""
-    runs = F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
-    native = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
-    return native
+    """Every run of letters that have a case begins with its title form, small letters else, in every script."""
+    runs = F.regexp_extract_all(c, F.lit(rf"([{CASED}]+|[^{CASED}]+)"), F.lit(1))
+
+    def shown(x: Column) -> Column:
+        first = F.upper(F.substring(x, 1, 1))  # of a letter whose capital is two letters, only the first is one
+        return F.concat(F.translate(F.substring(first, 1, 1), *DIGRAPHS), F.lower(F.substring(first, 2, 9)), F.lower(F.substring(x, 2, 1 << 30)))
+
+    return F.array_join(F.transform(runs, shown), "")
 
 
-def title_case_unicode(c: Column) -> Column:
-    """As ``title_case`` for letters of every script."""
-    return F.arrow_udf(_title, "string")(c)
+#: The same function: it covers every script.
+title_case_unicode = title_case
 
 
 def title_from_path(path: Column) -> Column:

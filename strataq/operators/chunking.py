@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,45 +146,64 @@ class RecursiveSplitter:
     def tokens(text: str) -> int:
         return max(1, len(text) >> 2)
 
-    def pieces(self, text: str) -> list[str]:
-        done: list[str] = []
-        todo = [(text, 0)]  # a stack in reading order: no recursion, however deep the separators go
+    def pieces(self, text: str) -> list[tuple[int, int]]:
+        """Where the pieces stand in the text: splitting and stripping leave each a part of it."""
+        done: list[tuple[int, int]] = []
+        todo = [(0, len(text), 0)]  # a stack in reading order: no recursion, however deep the separators go
         while todo:
-            piece, level = todo.pop()
-            if level == len(self.separators) or self.tokens(piece) <= self.size:
-                done.append(piece)
+            start, end, level = todo.pop()
+            if level == len(self.separators) or self.tokens(text[start:end]) <= self.size:
+                done.append((start, end))
                 continue
-            parts = [s for x in piece.split(self.separators[level]) if (s := x.strip())]
-            todo.extend((x, level + 1) for x in reversed(parts))
+            parts, separator = [], self.separators[level]
+            while start <= end:
+                cut = text.find(separator, start, end)
+                stop = end if cut < 0 else cut
+                part = text[start:stop]
+                bare = part.lstrip()
+                if bare:
+                    begin = start + len(part) - len(bare)
+                    parts.append((begin, begin + len(bare.rstrip()), level + 1))
+                if cut < 0:
+                    break
+                start = cut + len(separator)
+            todo.extend(reversed(parts))
         return done
 
-    def chunks(self, text: str) -> list[str]:
-        out: list[str] = []
+    def chunks(self, text: str) -> list[tuple[str, int, int]]:
+        """Each chunk with the start of its first word and the end of its last word in the text."""
+        out: list[tuple[str, int, int]] = []
         held: list[str] = []
+        spots: list[tuple[int, int]] = []
         total = 0
-        for piece in self.pieces(text):
+
+        def close() -> str:
+            chunk = " ".join(held)
+            if spots:
+                out.append((chunk, spots[0][0], spots[-1][1]))
+            return chunk
+
+        for start, end in self.pieces(text):
+            piece = text[start:end]
             n = self.tokens(piece)
             if held and total + n > self.size:
-                out.append(" ".join(held))
-                words = out[-1].split()
-                tail = " ".join(words[len(words) - self.overlap :]) if len(words) > self.overlap else out[-1]
-                held, total = [tail] if tail else [], self.tokens(tail)
+                chunk = close()
+                if len(spots) > self.overlap:
+                    spots = spots[len(spots) - self.overlap :]
+                    chunk = " ".join(chunk.split()[-self.overlap :]) if self.overlap else ""
+                held, total = [chunk] if chunk else [], self.tokens(chunk)
             held.append(piece)
+            spots = spots + [(start + m.start(), start + m.end()) for m in _WORD.finditer(piece)]
             total += n
         if held:
-            out.append(" ".join(held))
-        return [c for c in out if c.strip()]
+            close()
+        return out
 
     def placed(self, text: str, exact: bool = False) -> list[dict]:
-        """Chunks with offsets: by search from a cursor, or (``exact``) those of the chunk's first word and last word in
-        the text, found word by word, since chunks keep the text's words in order."""
+        """Chunks with offsets: by search from a cursor, or (``exact``) those that were carried along."""
         out, cursor = [], 0
-        marks = None
-        for k, c in enumerate(self.chunks(text)):
-            if exact:
-                marks = marks or Words(text)
-                begin, end = marks.span(c.split())
-            else:
+        for k, (c, begin, end) in enumerate(self.chunks(text)):
+            if not exact:
                 begin = text.find(c, cursor)
                 begin = cursor if begin < 0 else begin
                 end = begin + len(c)
@@ -192,27 +212,7 @@ class RecursiveSplitter:
         return out
 
 
-class Words:
-    """Places of a text's words, walked forward chunk by chunk."""
-
-    def __init__(self, text: str):
-        import re
-
-        self.spans = [m.span() for m in re.finditer(r"\S+", text)]
-        self.words = [text[a:b] for a, b in self.spans]
-        self.next, self.last = 0, 0
-
-    def span(self, words: list[str]) -> tuple[int, int]:
-        """Offsets of the run of the text's words that a chunk's words begin and end with; a word may have lost separator
-        characters, so a word of the text needs only to begin with it. The search starts after the last chunk's start."""
-        for begin in range(self.next, len(self.words)):
-            if self.words[begin].startswith(words[0]) and (len(words) == 1 or begin + 1 < len(self.words) and self.words[begin + 1].startswith(words[1])):
-                break
-        else:
-            begin = min(self.next, len(self.words) - 1)
-        self.next = begin + 1 if begin + 1 < len(self.words) else begin
-        end = min(len(self.words), begin + len(words)) - 1
-        return self.spans[begin][0], self.spans[end][1]
+_WORD = re.compile(r"\S+")
 
 
 def recursive(df: DataFrame, text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP, separators: tuple[str, ...] = config.SEPARATORS, pages: str | None = None, engine: str = "arrow", offsets: str = "search") -> DataFrame:
@@ -251,22 +251,25 @@ def sentences(text: Column, word_bounds: bool = False) -> Column:
     """Sentences of more than 15 characters: cut after ``.``, ``!`` or ``?`` before white space and a capital or digit, but not
     after an abbreviation. Abbreviations are taken at the end of any word, as their pattern has no word boundary, and come
     back as they are listed; with ``word_bounds`` only as words of their own."""
-    import re
-
     c = text
     for k, a in enumerate(ABBREVIATIONS):
         bound = r"\b" if word_bounds else ""
-        c = F.regexp_replace(c, f"(?i){bound}{re.escape(a)}", f"__ABBREV{k}__")
+        c = F.regexp_replace(c, f"(?i){bound}{re.escape(a)}", _held(k))
     parts = F.split(c, rf"(?<=[.!?]){SPACE_RUN}(?=[A-Z0-9])")
 
     def restore(s: Column) -> Column:
         for k, a in enumerate(ABBREVIATIONS):
-            s = F.replace(s, F.lit(f"__ABBREV{k}__"), F.lit(a))
+            s = F.replace(s, F.lit(_held(k)), F.lit(a))
         return tx.strip(s)
 
     return F.filter(F.transform(parts, restore), lambda s: F.length(s) > config.MIN_SENTENCE_CHARS)
 
 
+def _held(k: int) -> str:
+    """A character of the private use area in place of abbreviation k."""
+    return chr(0xF000 + k)
+
+
 SPACE_RUN = tx.SPACE + "+"
 
 

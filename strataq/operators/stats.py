@@ -46,11 +46,12 @@ def first_chunks(chunks: DataFrame, n: int = 10, doc: str = "document_id") -> Da
 
 def session_list(sessions: DataFrame, messages: DataFrame, links: DataFrame | None = None, documents: DataFrame | None = None, most: int = 50) -> DataFrame:
     """Active sessions, newest first: title or ``Untitled``, message_count, and their documents as an array."""
-    counts = messages.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("message_count"))
     newest = sessions.filter("is_active").orderBy(F.desc("updated_at"), "id").limit(most)
+    shown = F.broadcast(newest.select(F.col("id").alias("session_id")))  # ``most`` rows
+    counts = messages.join(shown, "session_id", "left_semi").groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("message_count"))
     out = newest.join(counts, "id", "left").na.fill(0, ["message_count"])
     if links is not None and documents is not None:
-        named = links.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
+        named = links.join(shown, "session_id", "left_semi").join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
         lists = named.groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("document_id").alias("id"), "title"))).alias("documents"))
         out = out.join(lists, "id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<id:string,title:string>>")))
     return out.withColumn("title", untitled(F.col("title"))).orderBy(F.desc("updated_at"), "id")
@@ -64,7 +65,8 @@ def session_detail(messages: DataFrame, bridge: DataFrame, chunks: DataFrame, do
     """Messages of a session, oldest first; assistant's carry their sources and token counts."""
     own = messages.filter(F.col("session_id") == session)
     source = F.struct("chunk_index", F.substring("text", 1, 200).alias("text"), "page_start", "page_end", "title")
-    rows = bridge.join(chunks, "chunk_id").join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
+    mine = own.select(F.col("id").alias("message_id"))  # the messages of one session
+    rows = bridge.join(mine, "message_id", "left_semi").join(chunks, "chunk_id").join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
     sources = rows.groupBy(F.col("message_id").alias("id")).agg(F.sort_array(F.collect_list(source)).alias("sources"))
     tokens = F.struct("prompt_tokens", "completion_tokens", "total_tokens")
     out = own.join(sources, "id", "left")

@@ -1,4 +1,4 @@
-"""Vector tables: scopes, exact and approximate top-k search, upserts, deletes, completeness."""
+"""Vector tables: scopes, exact top-k search, upserts, deletes, completeness."""
 
 from __future__ import annotations
 
@@ -51,13 +51,18 @@ def score(cos: Column) -> Column:
     return F.round((1 + cos) / 2, 4)
 
 
+def comparable(embedding: Column, size: int) -> Column:
+    """Whether a vector can be compared with a query of this length: not null, as long, without nulls or NaN."""
+    return (F.size(embedding) == size) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 def topk(vectors: DataFrame, query: list[float], k: int = config.RETRIEVE_K, embedding: str = "embedding", key: str = "chunk_id", size: str | None = None) -> DataFrame:
-    """The k vectors nearest to a query, with ``score`` and ``rank``; ties go to the smaller key. Each task keeps k rows
-    (TakeOrderedAndProject), so nothing else is shuffled."""
+    """The k vectors nearest to a query, with ``score`` and ``rank``; ties go to the smaller key, vectors that aren't ``comparable``
+    are skipped. Each task keeps k rows (TakeOrderedAndProject), so nothing else is shuffled."""
     if k < 1:
         raise ValueError("k must be 1 or more")
     cos = similarity(F.col(embedding), query, F.col(size) if size else None)
-    best = vectors.withColumn("__cos", cos).orderBy(F.desc("__cos"), key).limit(k).withColumn("score", score(F.col("__cos")))
+    best = vectors.filter(comparable(F.col(embedding), len(query))).withColumn("__cos", cos).orderBy(F.desc("__cos"), key).limit(k).withColumn("score", score(F.col("__cos")))
     ranked = Window.orderBy(F.desc("__cos"), key)  # over k rows
     return best.withColumn("rank", F.row_number().over(ranked)).drop("__cos")
 
@@ -69,44 +74,91 @@ def clamp_k(k: int | None, default: int = config.RETRIEVE_K, most: int = config.
     return k
 
 
+#: Queries of one broadcast; more are dealt to several, each with a scan of its own.
+QUERIES = 1 << 16
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products along the last axis, added from the first to the last as the column expressions do it."""
+    out = np.zeros(np.broadcast_shapes(x.shape, y.shape)[:-1])
+    for k in range(x.shape[-1]):
+        out = out + x[..., k] * y[..., k]
+    return out
+
+
+class _Best:
+    """The best k (cosine, key) of each query of one length, over the batches of a task."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k, self.length = q, k, np.sqrt((q * q).sum(1))
+        self.cos: list[np.ndarray] = [np.empty(0)] * len(q)
+        self.keys: list[list] = [[] for _ in q]
+
+    def add(self, x: np.ndarray, keys: list, block: int) -> None:
+        size = np.sqrt(_in_order(x, x))
+        unit = x / np.where(size > 0, size, 1.0)[:, None]
+        for at in range(0, len(self.q), block):
+            q, length = self.q[at : at + block], self.length[at : at + block]
+            rough = (q / np.where(length > 0, length, 1.0)[:, None]) @ unit.T
+            cut = np.partition(rough, -self.k, axis=1)[:, -self.k] if len(x) > self.k else np.full(len(q), -2.0)
+            held = np.array([c[-1] if len(c) >= self.k else -2.0 for c in self.cos[at : at + block]])
+            row, col = np.nonzero(rough >= (np.maximum(cut, held) - 1e-9)[:, None])  # a product's last digits vary with its place
+            both = size[col] * length[row]
+            exact = np.where(both > 0, _in_order(x[col], q[row]) / np.where(both > 0, both, 1.0), 0.0)
+            for j, start, end in zip(np.unique(row), *self.cuts(row)):
+                cos = np.concatenate([self.cos[at + j], exact[start:end]])
+                names = self.keys[at + j] + [keys[c] for c in col[start:end].tolist()]
+                order = sorted(range(len(names)), key=lambda i: (-cos[i], names[i]))[: self.k]
+                self.cos[at + j], self.keys[at + j] = cos[order], [names[i] for i in order]
+
+    @staticmethod
+    def cuts(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+        return starts, np.append(starts[1:], len(row))
+
+
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_K, query_id: str = "query_id", query: str = "query", embedding: str = "embedding", key: str = "chunk_id", block: int = 256) -> DataFrame:
-    """(query_id, key, score, rank) for a table of queries: the queries are a stated set that is broadcast in blocks of
-    ``block`` (its size is counted first), each task multiplies them with Arrow batches and keeps its best k of each query,
-    and only those are shuffled to the final rank."""
+    """(query_id, key, score, rank) for a table of queries: what ``topk`` gives for each, ties and skipped vectors included.
+
+    The queries are a stated set that is broadcast, ``QUERIES`` at a time (their number is counted first); each task multiplies its
+    Arrow batches with all of them, ``block`` at a time, in one scan, and keeps its best k of each query; only those are shuffled
+    to the final rank. Null queries, or such with nulls, have no rows."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark, parts = vectors.sparkSession, []
-    total = queries.count()
-    if total > 1 << 16:
-        raise ValueError("more than 65,536 queries; split them")
-    rows = queries.select(query_id, query).collect()
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    spark = vectors.sparkSession
+    asked = queries.select(query_id, query).filter(comparable(F.col(query), F.size(query)))
+    deals = max(1, -(-asked.count() // QUERIES))
     exact = [to_arrow_type(vectors.schema[key].dataType), to_arrow_type(queries.schema[query_id].dataType)]
     kinds = (vectors.schema[key].dataType.simpleString(), queries.schema[query_id].dataType.simpleString())
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        q = np.array([r[1] for r in part], np.float64)
-        q /= np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-        held = spark.sparkContext.broadcast(([r[0] for r in part], q))
+    parts = []
+    for deal in range(deals):
+        rows = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(deals)) == deal).collect()
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r[1]), []).append(r)
+        held = spark.sparkContext.broadcast({n: ([r[0] for r in part], np.array([r[1] for r in part], np.float64)) for n, part in by_size.items() if n})
 
         def run(batches, held=held):
-            ids, q = held.value
-            best: list[tuple] = []
+            best = {n: _Best(q, k) for n, (_, q) in held.value.items()}
             for b in batches:
-                keys = b.column(0).to_pylist()
-                x = np.array(b.column(1).to_pylist(), np.float64).reshape(len(keys), -1)
-                if not len(keys):
-                    continue
-                sims = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
-                best = best or [[] for _ in ids]
-                for j, row in enumerate(sims):
-                    best[j] += [(-row[i], keys[i]) for i in (np.argpartition(-row, k - 1)[:k] if len(row) > k else range(len(row)))]
-                    best[j] = sorted(best[j])[:k]
-            found = [(ids[j], y[1], -y[0]) for j, x in enumerate(best) for y in x]
-            yield pa.RecordBatch.from_pydict({"q": pa.array([f[0] for f in found], exact[1]), "key": pa.array([f[1] for f in found], exact[0]), "cos": pa.array([float(f[2]) for f in found], pa.float64())})
-
-        parts.append(vectors.select(key, embedding).mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, cos double"))
-    out = parts[0] if parts else spark.createDataFrame([], f"q {kinds[1]}, key {kinds[0]}, cos double")
+                lists = b.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                for n in best:
+                    at = np.flatnonzero(sizes == n)
+                    if len(at):
+                        flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+                        best[n].add(flat, b.column(0).take(pa.array(at)).to_pylist(), block)
+            for n, top in best.items():
+                ids = held.value[n][0]
+                found = [(ids[j], name, c) for j in range(len(ids)) for name, c in zip(top.keys[j], top.cos[j].tolist())]
+                yield pa.RecordBatch.from_pydict({"q": pa.array([f[0] for f in found], exact[1]), "key": pa.array([f[1] for f in found], exact[0]), "cos": pa.array([f[2] for f in found], pa.float64())})
+
+        rows_of = vectors.filter(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x))).select(key, embedding)
+        parts.append(rows_of.mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, cos double"))
+    out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "key")
@@ -114,22 +166,6 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_
     return ranked.select(F.col("q").alias(query_id), F.col("key").alias(key), score(F.col("cos")).alias("score"), "rank")
 
 
-def hyperplane_index(vectors: DataFrame, bits: int = 12, tables: int = 8, seed: int = 7, embedding: str = "embedding", dim: int | None = None) -> DataFrame:
-    """``vectors`` with ``buckets``: for each table the signs of random projections, for approximate search (recall is
-    measured against ``topk``)."""
-    dim = dim or len(vectors.select(embedding).first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    columns = []
-    for t in range(tables):
-        value = F.lit(t << bits)
-        for b in range(bits):
-            plane = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            dot = F.aggregate(F.zip_with(embedding, plane, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            value = value + F.when(dot >= 0, 1 << b).otherwise(0)
-        columns.append(value)
-    return vectors.withColumn("buckets", F.array(*columns))
-
-
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame | None = None, key: str = "chunk_id", doc: str = "document_id") -> DataFrame:
     """Hits with their chunk (and document); hits without a chunk go. Order: score, then rank."""
     rows = hits.join(chunks.drop(*[c for c in hits.columns if c != key and c in chunks.columns]), key)
@@ -145,9 +181,14 @@ def latest(rows: DataFrame, key: str, version: str, *ties: str) -> DataFrame:
     return top.select(key, "__r.*").select(*rows.columns)
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``table`` with ``changes`` in place of the rows that have their keys; of repeated changes any one."""
-    new = changes.dropDuplicates([key])
+def upsert(table: DataFrame, changes: DataFrame, key: str = "chunk_id", version: str | None = None) -> DataFrame:
+    """``table`` with ``changes`` in place of the rows that have their keys. Of repeated changes the last counts: the one with the
+    highest ``version`` (a column of ``changes`` that isn't stored where the table lacks it), then the greatest row."""
+    others = [c for c in changes.columns if c != key]
+    order = F.struct(*([version] if version else []), *others)
+    new = changes.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__r")).select(key, "__r.*")
+    if version and version not in table.columns:
+        new = new.drop(version)
     return table.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -26,13 +26,37 @@ def test_topk_is_exact_and_stable(spark):
     assert vectors.clamp_k(None) == 20 and vectors.clamp_k(99) == 50
 
 
-def test_approximate_index_recall(spark):
+def test_batch_topk_equals_topk_with_copies_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(300, 16))
-    near = base[:40] + rng.normal(size=(40, 16)) * 0.05
-    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.vstack([base, near]))], "chunk_id int, embedding array<double>")
-    out = {r.chunk_id: set(r.buckets) for r in vectors.hyperplane_index(v, bits=8, tables=10, dim=16).collect()}
-    assert sum(bool(out[k] & out[300 + k]) for k in range(40)) >= 36
+    base = rng.normal(size=(40, 9)).astype(np.float32)
+    rows = [(k, base[k % 40].tolist()) for k in range(300)] + [(300 + k, base[0].tolist()) for k in range(60)]
+    rows += [(900, None), (901, []), (902, [1.0, 2.0]), (903, [None] * 9), (904, [0.0] * 9), (905, [float("nan")] * 9), (906, (base[3] * 2).tolist())]
+    rng.shuffle(rows)
+    v = spark.createDataFrame(rows, "chunk_id int, embedding array<float>").repartition(4)
+    asked = [(k, base[k].astype(float).tolist()) for k in range(12)] + [(50, [0.0] * 9), (51, [1.0, 1.0])]
+    q = spark.createDataFrame(asked + [(60, None), (61, [None, 1.0])], "query_id int, query array<double>")
+    for k in (1, 3, 50):
+        got = {}
+        for r in vectors.batch_topk(v, q, k, block=5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r["rank"]))
+        want = {n: [(r.chunk_id, r.score, r["rank"]) for r in vectors.topk(v, x, k).orderBy("rank").collect()] for n, x in asked}
+        assert got == want
+    assert [x[0] for x in got[0][:4]] == [0, 40, 80, 120] and got[51] == [(902, 0.9743, 1)]
+
+
+def test_batch_topk_has_no_cap_on_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)], "chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(30)], "query_id int, query array<double>")
+    want = sorted(map(tuple, vectors.batch_topk(v, q, 3).collect()))
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    assert sorted(map(tuple, vectors.batch_topk(v, q, 3).collect())) == want and len(want) == 90
+
+
+def test_upsert_takes_the_last_change(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, document_id int")
+    c = spark.createDataFrame([("b", 2, 1), ("b", 9, 0), ("c", 5, 3), ("c", 4, 7)], "chunk_id string, document_id int, version int")
+    assert sorted(map(tuple, vectors.upsert(t, c, version="version").collect())) == [("a", 1), ("b", 2), ("c", 4)]
+    assert sorted(map(tuple, vectors.upsert(t, c.drop("version")).collect())) == [("a", 1), ("b", 9), ("c", 5)]
 
 
 def test_upsert_delete_latest(spark):

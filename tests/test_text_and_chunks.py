@@ -105,3 +105,78 @@ def test_groups(spark):
     out = sorted(chunking.merge_small_groups(chunking.breakpoint_groups(df, "doc", "pos"), "doc", "pos").collect(), key=lambda r: r.pos)
     assert [r.group_id for r in out] == [0, 0, 1, 1, 2, 3] and [r.merged_id for r in out] == [0, 0, 0, 0, 1, 1]
     assert out[5].similarity == 0.0
+
+
+def test_titles_of_every_script(spark):
+    for t in ("élan vital straße", "ß ßa ﬁn ǆem", "ΟΔΟΣ ὀδυσσεύς", "дом-музей 2й", "日本a語b", "a1b c'd É", "", "İstanbul ıc"):
+        assert one(spark, t, tx.title_case) == t.title(), t
+    assert one(spark, "x/élan_vital-straße.pdf", tx.title_from_path) == "Élan Vital Straße"
+
+
+def test_exact_offsets_hold_every_word_of_a_chunk(spark):
+    """On whole documents and on a small vocabulary, where words repeat."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "b.", "c;", "d", "e?"]) for _ in range(400)) for _ in range(8)] + EDGES
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    df = docs.unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts)], docs.schema))
+    whole = {r.doc_id: r.text for r in df.collect()}
+    bare = lambda t: [w.rstrip(".?!;,") for w in t.split() if w.rstrip(".?!;,")]  # noqa: E731  splitting takes these away
+    n = 0
+    for size, overlap in ((20, 4), (128, 16)):
+        search = {(r.doc_id, r.chunk_index): r.text for r in chunking.recursive(df, size=size, overlap=overlap).collect()}
+        for r in chunking.recursive(df, size=size, overlap=overlap, offsets="exact").collect():
+            assert search[r.doc_id, r.chunk_index] == r.text
+            assert bare(whole[r.doc_id][r.char_start : r.char_end]) == bare(r.text)
+            n += 1
+    assert n > 6000
+
+
+def test_sentences_against_a_plain_split(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    extra = ["We met Dr. Who. He left! Was it vol. 3? No. It was the pp. 3 of it. ok", "x" * 30 + ". " + "y" * 30, ""]
+    docs |= {-k: t for k, t in enumerate(extra, 1)}
+    df = spark.createDataFrame([(k, t) for k, t in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in df.select("doc_id", chunking.sentences(F.col("text")).alias("s")).collect()}
+    for k, t in docs.items():
+        for i, a in enumerate(chunking.ABBREVIATIONS):
+            t = re.sub(re.escape(a), chr(0xE100 + i), t, flags=re.I)
+        parts = re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", t)
+        for i, a in enumerate(chunking.ABBREVIATIONS):
+            parts = [p.replace(chr(0xE100 + i), a) for p in parts]
+        assert got[k] == [p.strip() for p in parts if len(p.strip()) > 15], k
+
+
+def test_semantic_chunks_against_a_plain_fold(spark):
+    """Sentences embedded, broken where neighbours differ, small groups joined to the one before, first sentences looked up."""
+    import numpy as np
+
+    from strataq.operators.embedding import HashEmbedder, embed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {}
+    for r in chunking.semantic(docs, embed, "doc_id", threshold=0.05).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.text, r.char_start, r.char_end))
+    found = {r.doc_id: (r.text, r.s) for r in docs.select("doc_id", "text", chunking.sentences(F.col("text")).alias("s")).collect()}
+    model, tokens = HashEmbedder(), lambda x: max(1, len(x) // 4)
+    for k, (text, sentences) in found.items():
+        v = model.embed(sentences).astype(float)
+        groups = []
+        for i, s in enumerate(sentences):
+            size = np.sqrt((v[i] ** 2).sum()) * np.sqrt((v[i - 1] ** 2).sum())
+            if i and (v[i] @ v[i - 1] / size if size else 0.0) >= 0.05:
+                groups[-1].append(s)
+            else:
+                groups.append([s])
+        merged = []
+        for g in groups:
+            if merged and sum(map(tokens, g)) < 100:
+                merged[-1] += g
+            else:
+                merged.append(list(g))
+        want, at = [], 0
+        for i, g in enumerate(merged):
+            start = text.find(g[0], at)
+            start = at if start < 0 else start
+            want.append((i, " ".join(g), start, start + len(" ".join(g))))
+            at = max(at, start + 1)
+        assert sorted(got.get(k, [])) == want, k
