@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources.sinks import events
 from . import prompt as pr
 from . import rerank as rr
 from .embedding import HashEmbedder, embed
 from .vectors import batch_topk
 
-#: A generator: (system, prompt) -> answer. The default cites the first passage, so that a turn runs offline.
-Generator = Callable[[str, str], str]
+#: A generator: (system, prompt) -> answer, whole or in pieces. The default cites the first passage, so that a turn runs offline.
+Generator = Callable[[str, str], str | Iterable[str]]
 NO_ANSWER = "The indexed documents hold nothing that bears on this question."
 
 
@@ -28,7 +29,7 @@ def generate(prompt: Column, make: Callable[[], Generator] = lambda: echo, syste
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         answer = make()
         for batch in batches:
-            yield pa.array([None if p is None else answer(system, p) for p in batch.to_pylist()], pa.string())
+            yield pa.array([None if p is None else "".join(answer(system, p)) for p in batch.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(prompt)
 
@@ -40,9 +41,34 @@ def stream_tokens(answer: str) -> Iterator[str]:
     yield from re.findall(r"\S+\s*", answer)
 
 
-def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None = None, k: int = config.RETRIEVE_K, take: int = config.RERANK_K, embedder: Callable = HashEmbedder, make: Callable[[], Generator] = lambda: echo, extra: str = "") -> DataFrame:
+def generate_pieces(prompt: Column, make: Callable[[], Generator] = lambda: echo, system: str = pr.SYSTEM) -> Column:
+    """Struct of the pieces that a generator gave, and of its error (null where it came to its end). An answer given whole is cut
+    into words; pieces before an error are kept."""
+    kind = pa.struct([("pieces", pa.list_(pa.string())), ("error", pa.string())])
+
+    def one(answer: Generator, text: str) -> dict:
+        pieces: list[str] = []
+        try:
+            given = answer(system, text)
+            pieces.extend(stream_tokens(given) if isinstance(given, str) else ())
+            for piece in () if isinstance(given, str) else given:
+                pieces.append(piece)
+        except Exception as e:  # noqa: BLE001  any failure of a model is that turn's error
+            return {"pieces": pieces, "error": str(e)[:500]}
+        return {"pieces": pieces, "error": None}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        answer = make()
+        for batch in batches:
+            yield pa.array([None if p is None else one(answer, p) for p in batch.to_pylist()], kind)
+
+    return F.arrow_udf(run, "struct<pieces:array<string>,error:string>")(prompt)
+
+
+def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None = None, k: int = config.RETRIEVE_K, take: int = config.RERANK_K, embedder: Callable = HashEmbedder, make: Callable[[], Generator] = lambda: echo, extra: str = "", streamed: bool = False) -> DataFrame:
     """One row per question (query_id, session_id, question): answer, citations, sources, cited_chunks, retrieval_scores, and
-    token estimates. Questions without candidates get a fixed answer."""
+    token estimates. Questions without candidates get a fixed answer. With ``streamed`` the answer is what the generator's
+    ``pieces`` give together, a failure is the row's ``error`` (not the job's), and ``was_streamed`` says so."""
     if take < 1 or k < 1:
         raise ValueError("k must be 1 or more")
     asked = questions.withColumn("query", embed(F.col("question"), embedder, "query"))
@@ -57,7 +83,13 @@ def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None
     else:
         rows = rows.withColumn("history", F.lit(None).cast("string"))
     rows = rows.withColumn("prompt", pr.user_prompt(F.col("context"), F.col("question"), F.col("history")))
-    rows = rows.withColumn("answer", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(generate(F.col("prompt"), make, pr.system_prompt(extra))))
+    if streamed:
+        rows = rows.withColumn("__g", generate_pieces(F.col("prompt"), make, pr.system_prompt(extra)))
+        none = F.array(*[F.lit(x) for x in stream_tokens(NO_ANSWER)])
+        rows = rows.withColumns({"pieces": F.when(F.col("context").isNull(), none).otherwise(F.col("__g.pieces")), "error": F.when(F.col("context").isNotNull(), F.col("__g.error"))}).drop("__g")
+        rows = rows.withColumn("answer", F.array_join("pieces", ""))
+    else:
+        rows = rows.withColumn("answer", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(generate(F.col("prompt"), make, pr.system_prompt(extra))))
     answers = rows.select("query_id", "answer")
     marked = pr.cited(ranked, answers)
     scores = pr.retrieval_scores(candidates.select("query_id", "chunk_id", "chunk_index", "page_start", "doc_title", F.col("score").alias("retrieval_score"), "rank"), marked)
@@ -69,5 +101,11 @@ def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None
     used = F.transform(F.filter("sources", lambda s: s.was_cited), lambda s: s.chunk_id)
     return out.withColumns({
         "citations": pr.citations(F.col("answer")), "cited_chunks": F.coalesce(used, F.array().cast("array<string>")), "prompt_tokens": F.floor(F.length("prompt") / 4).cast("int"),
-        "completion_tokens": F.floor(F.length("answer") / 4).cast("int"), "was_streamed": F.lit(False),
+        "completion_tokens": F.floor(F.length("answer") / 4).cast("int"), "was_streamed": F.lit(streamed),
     }).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def stream_events(answered: DataFrame) -> DataFrame:
+    """(query_id, seq, line): the server-sent lines of streamed answers, in order: tokens, then sources and counts, or the error."""
+    done = F.struct("sources", "citations", "prompt_tokens", "completion_tokens", "total_tokens")
+    return answered.select("query_id", F.posexplode(events(F.col("pieces"), done, F.col("error"))).alias("seq", "line"))

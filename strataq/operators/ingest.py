@@ -100,6 +100,20 @@ def ensure_sessions(sessions: DataFrame, wanted: DataFrame, at: Column) -> DataF
     return sessions.unionByName(rows.select(*[c for c in rows.columns if c in sessions.columns]), allowMissingColumns=True)
 
 
+def open_sessions(sessions: DataFrame, links: DataFrame, wanted: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(sessions, links) with a session for each wanted (id, user_id, documents): the one of that id, where it has no other user,
+    else a new one, named after id and user, that is linked to the wanted documents. An existing session keeps its links."""
+    asked = wanted.groupBy("id", "user_id").agg(F.max("documents").alias("documents"))
+    known = sessions.select("id", F.col("user_id").alias("__owner"), F.lit(True).alias("__known"))
+    met = asked.join(known, "id", "left")
+    mine = F.coalesce("__known", F.lit(False)) & (F.col("user_id").isNull() | F.col("user_id").eqNullSafe(F.col("__owner")))
+    name = F.when(F.col("__known"), F.concat_ws("-", "id", F.col("user_id").cast("string"))).otherwise(F.col("id"))
+    fresh = met.filter(~mine).select(name.alias("id"), "user_id", "documents").join(sessions.select("id"), "id", "left_anti")
+    rows = ensure_sessions(sessions, fresh.select("id", "user_id"), at)
+    new = fresh.select(F.col("id").alias("session_id"), F.explode("documents").alias("document_id"))
+    return rows, links.unionByName(new)
+
+
 def session_title(title: Column, question: Column, n_messages: Column) -> Column:
     """The first question's 80 characters for a session without a title and at most two messages."""
     return F.when((F.coalesce(title, F.lit("")) == "") & (n_messages <= 2), F.substring(question, 1, 80)).otherwise(title)

@@ -53,7 +53,8 @@ def session_list(sessions: DataFrame, messages: DataFrame, links: DataFrame | No
     if links is not None and documents is not None:
         named = links.join(shown, "session_id", "left_semi").join(documents.select(F.col("id").alias("document_id"), "title"), "document_id")
         lists = named.groupBy(F.col("session_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("document_id").alias("id"), "title"))).alias("documents"))
-        out = out.join(lists, "id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<id:string,title:string>>")))
+        none = F.array().cast(lists.schema["documents"].dataType)
+        out = out.join(lists, "id", "left").withColumn("documents", F.coalesce("documents", none))
     return out.withColumn("title", untitled(F.col("title"))).orderBy(F.desc("updated_at"), "id")
 
 

@@ -14,10 +14,11 @@ from ..functions import text as tx
 from ..operators import chat, chunking, ingest, prompt, rerank, stats, vectors
 from ..operators import pages as pg
 from ..sources.files import upload_error
-from ..sources.sinks import chunk_id, replace_chunks
+from ..schema import MESSAGE_CHUNKS, MESSAGES, SESSION_DOCUMENTS
+from ..sources.sinks import append_turns, chunk_id, events, replace_chunks
 from ..sources.tables import table
 from ..streaming.ingest import windowed_counts
-from . import oracles
+from . import api, oracles
 
 SIZE, OVERLAP = 128, 16
 
@@ -51,7 +52,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed(_docs(spark, d).select("doc_id", "source", "text"), size=SIZE, overlap=OVERLAP)
+    return chunking.fixed(_docs(spark, d).select("doc_id", "source", "text"), size=SIZE, overlap=OVERLAP, offsets=False)
 
 
 # --- chunking --------------------------------------------------------------------------------------------------------
@@ -382,8 +383,21 @@ def document_stats(spark, d):
     return stats.document_stats(docs, chunks).drop("source")
 
 
+def _documents(spark, d):
+    """Documents as the service has them."""
+    status = F.when(F.col("doc_id") % 5 == 0, "pending").otherwise("ready")
+    return _docs(spark, d).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.floor(F.col("n_chars") / 1024).alias("file_size_kb"), F.lit(1).alias("page_count"), (F.col("doc_id") % 7).alias("chunk_count"),
+        status.alias("status"), F.lit("fixed").alias("chunk_strategy"), F.col("doc_id").alias("created_at"), F.lit(None).cast("long").alias("processed_at"), "source",
+    )
+
+
 def document_list(spark, d):
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), F.floor(F.col("n_chars") / 1024).alias("file_size_kb"), "source").orderBy(F.desc("id"))
+    return api.document_list(_documents(spark, d)).join(_docs(spark, d).select(F.col("doc_id").alias("id"), "source"), "id").select("id", "file_size_kb", "source").orderBy(F.desc("id"))
+
+
+def document_page(spark, d):
+    return api.document_list(_documents(spark, d)).drop("processed_at")
 
 
 def document_detail(spark, d):
@@ -391,6 +405,125 @@ def document_detail(spark, d):
     return stats.first_chunks(chunks).select("document_id", "chunk_index", "token_count")
 
 
+def document_detail_page(spark, d):
+    chunks = _fixed(spark, d).select(F.col("doc_id").alias("document_id"), "chunk_index", "token_count", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit(False).alias("is_embedded"))
+    out = api.document_detail(_documents(spark, d), chunks, 7)
+    return out.select("id", "title", "status", F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c.chunk_index.cast("string"), c.token_count.cast("string"))), ",").alias("chunks"))
+
+
+def search_stats(spark, d):
+    _, chunks, v = _indexed(spark, d)
+    return api.search_stats(_documents(spark, d), chunks, v).select("document_id", "title", "chunk_count", "embedded_chunks", "vector_count", "fully_indexed")
+
+
+def search_rows(spark, d):
+    v = _vectors(spark, d).withColumns({"text": F.concat(F.lit("text of "), F.repeat(F.col("chunk_id").cast("string"), 60)), "page_start": F.col("chunk_id") % 9, "page_end": F.col("chunk_id") % 9 + F.col("chunk_id") % 2, "doc_title": F.concat(F.lit("T"), F.col("document_id").cast("string"))})
+    return api.search_rows(vectors.topk(v, _query(spark, d), 20)).select("chunk_id", "rank", "preview", "page_label", "source_label")
+
+
+def debug_documents(spark, d):
+    chunks = _fixed(spark, d).withColumnRenamed("doc_id", "document_id")
+    return api.debug_documents(_docs(spark, d).select(F.col("doc_id").alias("id")), chunks)
+
+
+def debug_chunk_stats(spark, d):
+    chunks = _fixed(spark, d).select(F.col("doc_id").alias("document_id"), "chunk_index", "text", "token_count", (F.col("chunk_index") + 1).alias("page_start"), (F.col("chunk_index") + 2).alias("page_end"))
+    shown, numbers = api.debug_chunks(chunks, 3, "2")
+    return shown.select("chunk_index", "preview").crossJoin(numbers.select("min_tokens", "max_tokens", "n_chunks"))
+
+
+def title_accents(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.title_from_path(F.translate("url", "aeou", "áéöü")).alias("title"))
+
+
+def chunk_own_sizes(spark, d):
+    docs = _docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 3 * 32 + 64).cast("int").alias("chunk_size"), (F.col("doc_id") % 4 * 20).cast("int").alias("chunk_overlap"))
+    return chunking.fixed(docs, size=F.col("chunk_size"), overlap=F.col("chunk_overlap"), offsets=False).select("doc_id", "chunk_index", "text", "token_count")
+
+
+def vector_topk_copies(spark, d):
+    v = _vectors(spark, d)
+    copies = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select((F.col("i") * 1_000_000 + F.col("chunk_id")).cast("long").alias("chunk_id"), "embedding", "document_id")
+    first = v.groupBy("document_id").agg(F.min_by("embedding", "chunk_id").alias("query")).select(F.col("document_id").alias("query_id"), "query")
+    return vectors.batch_topk(copies, first, 20)
+
+
+def upsert_versions(spark, d):
+    changes = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("kind"), "ts")
+    stored = spark.range(0, 400).select(F.col("id").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit("old").alias("kind"))
+    return vectors.upsert(stored, changes, "user_id", "ts")
+
+
+def hydrate_with_documents(spark, d):
+    hits = vectors.topk(_vectors(spark, d), _query(spark, d), 50).drop("embedding", "document_id")
+    chunks = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("document_id"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("document_id"), "source")
+    return vectors.hydrate(hits, chunks, docs).select("chunk_id", "document_id", "source", "score")
+
+
+def rerank_pairs(spark, d):
+    """A pair model in place: the share of a passage's characters that its question has."""
+    rows = _candidates(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").withColumn("question", F.lit("the"))
+    return rerank.rerank(rows, 5, pair_model=lambda q, t: (F.length(t) - F.length(F.replace(t, q, F.lit("")))).cast("double")).select("query_id", "chunk_id", "rerank_score", "n")
+
+
+def _said(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select(F.concat(F.lit("s"), (F.col("item_id") % 7).cast("string")).alias("session_id"), F.col("text").alias("question"), F.concat(F.lit("On "), F.col("text")).alias("answer"), F.array(F.col("item_id").cast("string"), F.lit("x")).alias("cited_chunks"), (F.col("item_id") * 3).cast("int").alias("prompt_tokens"), F.lit(True).alias("was_streamed"), "item_id")
+
+
+def _appended(spark, d):
+    return append_turns(spark.createDataFrame([], MESSAGES), spark.createDataFrame([], MESSAGE_CHUNKS), _said(spark, d), F.timestamp_seconds(F.col("item_id")))
+
+
+def chat_messages(spark, d):
+    return _appended(spark, d)[0].select("id", "session_id", "role", "content", "prompt_tokens", "was_streamed", F.unix_micros("created_at").alias("created_at"))
+
+
+def chat_links(spark, d):
+    return _appended(spark, d)[1]
+
+
+def stream_lines(spark, d):
+    rows = _said(spark, d)
+    error = F.when(F.col("item_id") % 5 == 0, F.lit("model gone"))
+    lines = events(F.split("question", " "), F.struct("prompt_tokens"), error)
+    return rows.select("item_id", F.posexplode(lines).alias("seq", "line"))
+
+
+def session_open(spark, d):
+    known = _sessions(spark, d).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), (F.col("id") % 2).alias("user_id"), "title", "is_active")
+    wanted = spark.range(0, 30).select(F.concat(F.lit("c"), (F.col("id") * 7).cast("string")).alias("id"), F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("user_id"), F.array(F.lit("d1"), F.lit("d2")).alias("documents"))
+    rows, links = ingest.open_sessions(known, spark.createDataFrame([], SESSION_DOCUMENTS), wanted, F.timestamp_seconds(F.lit(0)))
+    return rows.join(links.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n_links")), "id", "left").select("id", "user_id", "title", "is_active", "n_links")
+
+
+def session_documents(spark, d):
+    links = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 3 + F.col("turn") % 2).alias("document_id")).distinct()
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("title"))
+    out = stats.session_list(_sessions(spark, d), _messages(spark, d), links, docs)
+    return out.select("id", "title", "message_count", F.array_join(F.transform("documents", lambda x: F.concat_ws(":", x["id"].cast("string"), x["title"])), ",").alias("documents"))
+
+
+def prompt_with_context(spark, d):
+    text = prompt.user_prompt(F.col("context"), F.concat(F.lit("What does "), F.col("query_id"), F.lit(" hold?")), F.lit(None).cast("string"))
+    return context_block(spark, d).select("query_id", text.alias("prompt"))
+
+
+def chat_streamed(spark, d):
+    """Lines of streamed turns whose candidates are the table's own vectors."""
+    from ..operators.embedding import HashEmbedder, embed
+
+    docs = _docs(spark, d)
+    v = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("source").alias("doc_title"), embed(F.col("text"), lambda: HashEmbedder(64)).alias("embedding"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("session_id"), F.col("text").alias("question"))
+    lines = chat.stream_events(chat.answer(asked, v, embedder=lambda: HashEmbedder(64), streamed=True))
+    tokens = lines.filter(F.contains("line", F.lit('"type":"token"')))
+    last = lines.groupBy("query_id").agg(F.max_by("line", "seq").alias("l"), F.max("seq").alias("n_tokens"))
+    said = tokens.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.get_json_object(F.substring("line", 7, 1 << 30), "$.text").alias("t")))).alias("p"))
+    return said.select("query_id", F.array_join(F.transform("p", lambda x: x.t), "").alias("answer")).join(last.select("query_id", "n_tokens", F.contains("l", F.lit('"type":"done"')).alias("done")), "query_id")
+
+
 def token_bars(spark, d):
     return stats.token_share(_fixed(spark, d).withColumnRenamed("doc_id", "document_id")).select("document_id", "chunk_index", "token_bar")
 
@@ -450,6 +583,8 @@ _ALL = (
     clean_text, clean_ocr_lines, table_text, text_measures, repeated_lines, strip_repeated_lines, page_offsets, page_offsets_exact, page_assembly, page_for_char, page_filter, title_from_filename, highlight_terms,
     vector_topk, vector_topk_scoped, vector_topk_multi, vector_topk_batch, hydrate_hits, collection_name, upsert_latest, upsert_vectors, delete_document, delete_cascade, replace_document_chunks, index_completeness, unembedded_docs, mark_embedded,
     rerank_fallback, rerank_minmax, rerank_listwise, parse_listwise_scores, context_budget, context_block, citation_labels, extract_citations, uncited, retrieval_scores_record, history_last_n, history_block, prompt_build,
+    document_page, document_detail_page, search_stats, search_rows, debug_documents, debug_chunk_stats, title_accents, chunk_own_sizes, vector_topk_copies, upsert_versions, hydrate_with_documents, rerank_pairs,
+    chat_messages, chat_links, stream_lines, session_open, session_documents, prompt_with_context, chat_streamed,
     session_list, session_detail, session_soft_delete, document_stats, document_list, document_detail, token_bars, cited_documents, upload_validation, ingest_decision, ingest_summary, status_machine, event_windows, chat_turns,
 )
 

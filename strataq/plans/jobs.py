@@ -15,20 +15,28 @@ from ..sources import files
 
 
 def stored(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    """A table of ``root``; an empty one where it isn't there yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(f"{root}/{name}") if there else spark.createDataFrame([], schema)
+    """A table of ``root``; the one that a broken ``write`` put aside, where that is all there is; an empty one where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for place in (f"{root}/{name}", f"{root}/{name}__old"):
+        if fs.exists(path(place)):
+            return spark.read.schema(schema).parquet(place)
+    return spark.createDataFrame([], schema)
 
 
 def write(df: DataFrame, root: str, name: str) -> None:
-    """Replaces a table, also where ``df`` reads it: the new rows are written beside it, then take its name."""
+    """Replaces a table, also where ``df`` reads it: the new rows are written beside it, the old ones step aside, the new ones take
+    the name, and only then the old ones go. A run that ended between leaves one of them whole, which ``stored`` finds."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(f"{root}/{name}__new")
-    fs.delete(path(f"{root}/{name}"), True)
-    fs.rename(path(f"{root}/{name}__new"), path(f"{root}/{name}"))
+    fs.delete(path(f"{root}/{name}__old"), True)
+    if fs.exists(path(f"{root}/{name}")) and not fs.rename(path(f"{root}/{name}"), path(f"{root}/{name}__old")):
+        raise OSError(f"{root}/{name} can't be moved")
+    if not fs.rename(path(f"{root}/{name}__new"), path(f"{root}/{name}")):
+        raise OSError(f"{root}/{name}__new can't be moved")
+    fs.delete(path(f"{root}/{name}__old"), True)
 
 
 def run_ingest(spark: SparkSession, folder: str, root: str, dry_run: bool = False, force: bool = False, reader=None) -> DataFrame:
@@ -46,7 +54,8 @@ def run_ingest(spark: SparkSession, folder: str, root: str, dry_run: bool = Fals
     todo = spark.createDataFrame([], DOCUMENTS).unionByName(create, allowMissingColumns=True).unionByName(again)
     ids = plan.filter("decision <> 'skip'").select("file", F.coalesce("existing_id", "id").alias("document_id"))
     pages = files.pdf_pages(scanned.join(ids.select(F.col("file").alias("path")), "path", "left_semi"), reader).join(ids.withColumnRenamed("file", "id"), "id").drop("id")
-    done, chunks = ingest.run_pipeline(todo, pages, F.current_timestamp())
+    write(pages, root, "pages")  # read twice below: files are opened once, and both tables are of the same pages
+    done, chunks = ingest.run_pipeline(todo, spark.read.schema(pages.schema).parquet(f"{root}/pages"), F.current_timestamp())
     gone = ids.select("document_id").distinct()
     old = stored(spark, root, "chunks", CHUNKS).join(gone, "document_id", "left_anti")
     write(old.unionByName(chunks.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS])), root, "chunks")

@@ -57,7 +57,8 @@ def _clean(x: str) -> str:
 
 
 def _title(x: str) -> str:
-    parts = f"regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+')"
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    parts = f"regexp_extract_all({x}, '[{cased}]+|[^{cased}]+')"
     return f"array_to_string(list_transform({parts}, lambda w: upper(w[1:1]) || lower(w[2:])), '')"
 
 
@@ -88,7 +89,86 @@ hb AS (SELECT conv_id AS session_id, '## CONVERSATION HISTORY' || chr(10) || str
 _SESSIONS = "s AS (SELECT conv_id AS id, max(turn) AS updated_at, CASE WHEN conv_id % 4 <> 0 THEN 'Chat ' || conv_id ELSE '' END AS title, conv_id % 3 <> 0 AS is_active, count(*) AS message_count FROM conversations GROUP BY conv_id)"
 
 
+_SEPARATORS = ("chr(10) || chr(10) || chr(10)", "chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '", "'; '", "', '", "' '")
+
+
+def _recursive(size: int, overlap: int) -> str:
+    """Pieces level by level, then two folds over lists of states: merging, and the cursor search."""
+    tok = "greatest(1, length({0}) // 4)::INT"
+    pieces = "[text]"
+    for sep in _SEPARATORS:
+        pieces = f"flatten(list_transform({pieces}, lambda x: CASE WHEN {tok.format('x')} <= {size} THEN [x] ELSE list_filter(list_transform(string_split(x, {sep}), lambda y: {_STRIP.format('y')}), lambda y: y <> '') END))"
+    words = _WORDS.format("s.cur")
+    tail = f"CASE WHEN len({words}) > {overlap} THEN array_to_string(({words})[-{overlap}:], ' ') ELSE s.cur END"
+    return f"""p AS (SELECT doc_id, text, {pieces} AS ps FROM documents),
+m AS (SELECT doc_id, text, list_reduce(list_prepend({{out: []::VARCHAR[], cur: NULL::VARCHAR, n: 0::INT}}, list_transform(ps, lambda x: {{out: []::VARCHAR[], cur: x, n: {tok.format('x')}}})),
+ lambda s, e: CASE WHEN s.cur IS NOT NULL AND s.n + e.n > {size} THEN {{out: list_append(s.out, s.cur), cur: concat_ws(' ', nullif({tail}, ''), e.cur), n: ({tok.format(tail)} + e.n)::INT}}
+ ELSE {{out: s.out, cur: CASE WHEN s.cur IS NULL THEN e.cur ELSE s.cur || ' ' || e.cur END, n: (s.n + e.n)::INT}} END) AS s FROM p),
+c AS (SELECT doc_id, text, list_filter(CASE WHEN s.cur IS NULL THEN s.out ELSE list_append(s.out, s.cur) END, lambda x: {_STRIP.format('x')} <> '') AS cs FROM m),
+f AS (SELECT doc_id, list_reduce(list_prepend({{out: []::STRUCT(i INT, t VARCHAR, b INT)[], spot: 0::INT, c: ''}}, list_transform(cs, lambda x: {{out: []::STRUCT(i INT, t VARCHAR, b INT)[], spot: 0::INT, c: x}})),
+ lambda s, e: {{out: list_append(s.out, {{i: len(s.out)::INT, t: e.c, b: CASE WHEN strpos(substr(text, s.spot + 1), e.c) > 0 THEN (s.spot + strpos(substr(text, s.spot + 1), e.c) - 1)::INT ELSE s.spot END}}),
+ spot: greatest(s.spot, CASE WHEN strpos(substr(text, s.spot + 1), e.c) > 0 THEN (s.spot + strpos(substr(text, s.spot + 1), e.c))::INT ELSE s.spot + 1 END)::INT, c: ''}}).out AS placed FROM c),
+r AS (SELECT doc_id, unnest(placed) AS x FROM f)
+SELECT doc_id, x.i AS chunk_index, {_STRIP.format('x.t')} AS text, x.b AS char_start, (x.b + length(x.t))::INT AS char_end, {tok.format(_STRIP.format('x.t'))} AS token_count FROM r WHERE length({_STRIP.format('x.t')}) > 20"""
+
+
+def _sentences() -> str:
+    """Abbreviations and cuts are marked by characters of the private use area."""
+    held = "text"
+    for k, a in enumerate(("Dr.", "Prof.", "Fig.", "Tab.", "Eq.", "et al.", "e.g.", "i.e.", "vs.", "approx.", "No.", "Vol.", "p.", "pp.", "ibid.")):
+        held = f"regexp_replace({held}, '(?i){a.replace('.', chr(92) + '.')}', chr({0xE100 + k}), 'g')"
+    back = "x"
+    for k, a in enumerate(("Dr.", "Prof.", "Fig.", "Tab.", "Eq.", "et al.", "e.g.", "i.e.", "vs.", "approx.", "No.", "Vol.", "p.", "pp.", "ibid.")):
+        back = f"replace({back}, chr({0xE100 + k}), '{a}')"
+    cut = rf"string_split(regexp_replace({held}, '([.!?])\s+([A-Z0-9])', '\1' || chr({0xE200}) || '\2', 'g'), chr({0xE200}))"
+    whole = f"list_filter(list_transform({cut}, lambda x: {_STRIP.format(back)}), lambda x: length(x) > 15)"
+    return f"WITH s AS (SELECT doc_id, {whole} AS ss FROM documents) SELECT doc_id, unnest(range(len(ss)))::INT AS pos, unnest(ss) AS sentence FROM s"
+
+
+def _more() -> dict[str, str]:
+    docs = "SELECT doc_id AS id, 'Doc ' || doc_id AS title, n_chars // 1024 AS file_size_kb, 1::INT AS page_count, doc_id % 7 AS chunk_count, CASE WHEN doc_id % 5 = 0 THEN 'pending' ELSE 'ready' END AS status, 'fixed' AS chunk_strategy, doc_id AS created_at FROM documents"
+    said = "b AS (SELECT 's' || (item_id % 7) AS session_id, text AS question, 'On ' || text AS answer, item_id, (item_id * 3)::INT AS prompt_tokens FROM benchmark)"
+    context = oracle_sql_context()
+    return {
+        "chunk_recursive": f"WITH {_recursive(128, 16)}",
+        "chunk_recursive_native": f"WITH {_recursive(128, 16)}",
+        "sentence_split": _sentences(),
+        "document_page": docs,
+        "document_detail_page": f"WITH {FIXED}, d AS ({docs}) SELECT id, title, status, (SELECT string_agg(chunk_index || ':' || token_count, ',' ORDER BY chunk_index) FROM chunks WHERE doc_id = 7 AND chunk_index < 10) AS chunks FROM d WHERE id = 7",
+        "search_stats": "WITH c AS (SELECT doc_id AS document_id, count(*) AS chunk_count, count(*) FILTER (quality = 1) AS embedded_chunks FROM labels GROUP BY 1) SELECT doc_id AS document_id, 'Doc ' || doc_id AS title, coalesce(chunk_count, 0) AS chunk_count, coalesce(embedded_chunks, 0) AS embedded_chunks, coalesce(embedded_chunks, 0) AS vector_count, coalesce(embedded_chunks, 0) = coalesce(chunk_count, 0) AS fully_indexed FROM documents LEFT JOIN c ON document_id = doc_id WHERE doc_id % 5 <> 0",
+        "search_rows": f"WITH h AS ({_topk('true', 20)}), t AS (SELECT *, 'text of ' || repeat(chunk_id::VARCHAR, 60) AS text, chunk_id % 9 AS a, chunk_id % 9 + chunk_id % 2 AS b FROM h) SELECT chunk_id, rank, {_PREVIEW.format('text', 120)} AS preview, {_LABEL.format('a', 'b', '–')} AS page_label, 'T' || document_id || ' · ' || {_LABEL.format('a', 'b', '–')} AS source_label FROM t",
+        "debug_documents": f"WITH {FIXED} SELECT d.doc_id AS id, {_STATS.format('c.token_count')} FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
+        "debug_chunk_stats": f"WITH {FIXED}, s AS (SELECT * FROM chunks WHERE doc_id = 3 AND 2 BETWEEN chunk_index + 1 AND chunk_index + 2) SELECT chunk_index, {_PREVIEW.format('text', 120)} AS preview, (SELECT min(token_count) FROM s)::BIGINT AS min_tokens, (SELECT max(token_count) FROM s)::BIGINT AS max_tokens, (SELECT count(*) FROM s) AS n_chunks FROM s",
+        "title_accents": f"""SELECT page_id, {_title("translate(" + _STEM.format("translate(url, 'aeou', 'áéöü')") + ", '_-', '  ')")} AS title FROM pages""",
+        "chunk_own_sizes": f"""WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws, doc_id % 3 * 32 + 64 AS size, doc_id % 4 * 20 AS lap FROM documents), s AS (SELECT *, greatest(1, size - least(lap, size // 2)) AS step FROM w),
+k AS (SELECT *, unnest(range(0, len(ws), step)) AS st FROM s), c AS (SELECT doc_id, (st // step)::INT AS chunk_index, array_to_string(ws[st + 1:st + size], ' ') AS text FROM k) SELECT *, {_TOKENS.format('text')} AS token_count FROM c""",
+        "vector_topk_copies": f"""WITH v AS (SELECT vec_id + 1000000 * i AS chunk_id, embedding FROM embeddings, (SELECT unnest([0, 1, 2])::BIGINT AS i)), q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY 1),
+s AS (SELECT query_id, chunk_id, {_COS.format('embedding', 'query')} AS cos FROM v, q) SELECT query_id, chunk_id, round((1 + cos) / 2, 4) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id))::INT AS rank FROM s QUALIFY rank <= 20""",
+        "upsert_versions": "WITH n AS (SELECT user_id, event_id, event_type AS kind FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) = 1) SELECT * FROM n UNION ALL SELECT id, -1, 'old' FROM range(400) t(id) WHERE id NOT IN (SELECT user_id FROM n)",
+        "hydrate_with_documents": f"WITH h AS ({_topk('true', 50)}) SELECT chunk_id, l.doc_id % 50 AS document_id, d.source, score FROM h JOIN labels l ON l.doc_id = chunk_id JOIN documents d ON d.doc_id = l.doc_id % 50",
+        "rerank_pairs": f"WITH {CANDIDATES}, x AS (SELECT query_id, chunk_id, rank, (length(substr(text, 1, 512)) - length(replace(substr(text, 1, 512), 'the', '')))::DOUBLE AS raw FROM cand JOIN documents ON doc_id = chunk_id), z AS (SELECT *, round((raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w > min(raw) OVER w THEN max(raw) OVER w - min(raw) OVER w ELSE 1 END, 4) AS rerank_score FROM x WINDOW w AS (PARTITION BY query_id)) {_take('rerank_score', 'z')}",
+        "chat_messages": f"WITH {said} SELECT session_id || '-' || item_id * 1000000 || '-u' AS id, session_id, 'user' AS role, question AS content, NULL::INT AS prompt_tokens, NULL::BOOLEAN AS was_streamed, item_id * 1000000 AS created_at FROM b UNION ALL SELECT session_id || '-' || item_id * 1000000 || '-a', session_id, 'assistant', answer, prompt_tokens, true, item_id * 1000000 + 1 FROM b",
+        "chat_links": f"WITH {said} SELECT session_id || '-' || item_id * 1000000 || '-a' AS message_id, unnest([item_id::VARCHAR, 'x']) AS chunk_id FROM b",
+        "stream_lines": f"""WITH {said}, t AS (SELECT item_id, prompt_tokens, string_split(question, ' ') AS ws FROM b), x AS (SELECT item_id, list_append(list_transform(ws, lambda w: 'data: ' || to_json({{type: 'token', text: w}})::VARCHAR), CASE WHEN item_id % 5 = 0 THEN 'data: {{"type":"error","text":"model gone"}}' ELSE 'data: {{"type":"done","payload":{{"prompt_tokens":' || prompt_tokens || '}}}}' END) AS ls FROM t)
+SELECT item_id, unnest(range(len(ls)))::INT AS seq, unnest(ls) AS line FROM x""",
+        "session_open": f"""WITH {_SESSIONS}, k AS (SELECT 'c' || id AS id, id % 2 AS user_id, title, is_active FROM s), w AS (SELECT 'c' || i * 7 AS id, CASE WHEN i % 3 <> 0 THEN i % 2 END AS user_id FROM range(30) t(i)),
+n AS (SELECT CASE WHEN k.id IS NULL THEN w.id ELSE w.id || '-' || w.user_id END AS id, w.user_id FROM w LEFT JOIN k ON k.id = w.id WHERE k.id IS NULL OR (w.user_id IS NOT NULL AND w.user_id <> k.user_id))
+SELECT id, user_id, title, is_active, NULL::BIGINT AS n_links FROM k UNION ALL SELECT id, user_id, '', true, 2 FROM n""",
+        "session_documents": f"""WITH {_SESSIONS}, t AS (SELECT * FROM s WHERE is_active ORDER BY updated_at DESC, id LIMIT 50), l AS (SELECT DISTINCT conv_id, conv_id * 3 + turn % 2 AS doc FROM conversations),
+x AS (SELECT conv_id, string_agg(doc || ':' || source, ',' ORDER BY doc) AS ds FROM l JOIN documents ON doc_id = doc GROUP BY 1) SELECT id, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, message_count, coalesce(ds, '') AS documents FROM t LEFT JOIN x ON conv_id = id""",
+        "prompt_with_context": f"WITH c AS ({context}) SELECT query_id, concat_ws(chr(10) || chr(10), '## CONTEXT PASSAGES', context, '## INSTRUCTIONS', 'First name the passages that bear on the question, then put together what they say, then answer with citations.', '## QUESTION' || chr(10) || 'What does ' || query_id || ' hold?', '## YOUR ANSWER') AS prompt FROM c",
+    }
+
+
+def oracle_sql_context() -> str:
+    return _core()["context_block"]
+
+
 def oracle_sql() -> dict[str, str]:
+    return _core() | _more()
+
+
+def _core() -> dict[str, str]:
     long_enough = f"length({_STRIP.format('text')}) > 20"
     return {
         "chunk_fixed_stats": f"WITH {FIXED} SELECT source, {_STATS.format('token_count')} FROM chunks WHERE {long_enough} GROUP BY source",
@@ -162,7 +242,7 @@ SELECT session_id, prompt, length(prompt) // 4 AS token_estimate FROM p""",
 SELECT id, role, CASE WHEN role = 'assistant' THEN (SELECT count(*) FROM src) ELSE NULL END::INT AS n_sources, CASE WHEN role = 'assistant' THEN (SELECT any_value(title) FROM src) END AS title, CASE WHEN role = 'assistant' THEN 3 END::INT AS total_tokens FROM m""",
         "session_soft_delete": f"WITH {_SESSIONS} SELECT id, is_active AND id <> 1 AS is_active FROM s",
         "document_stats": f"WITH {FIXED} SELECT d.doc_id AS id, {_STATS.format('c.token_count')} FROM documents d LEFT JOIN (SELECT * FROM chunks WHERE token_count > 150) c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
-        "document_list": "SELECT doc_id AS id, n_chars // 1024 AS file_size_kb, source FROM documents ORDER BY doc_id DESC LIMIT 50",
+        "document_list": "SELECT doc_id AS id, n_chars // 1024 AS file_size_kb, source FROM documents ORDER BY doc_id DESC",
         "document_detail": f"WITH {FIXED} SELECT doc_id AS document_id, chunk_index, token_count FROM chunks WHERE chunk_index < 10",
         "token_bars": f"WITH {FIXED} SELECT doc_id AS document_id, chunk_index, round(100 * token_count / max(token_count) OVER (PARTITION BY doc_id))::INT AS token_bar FROM chunks",
         "cited_documents": "SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT doc_id % 50 FROM labels WHERE doc_id % 3 = 1)",

@@ -17,16 +17,23 @@ def replace_chunks(stored: DataFrame, fresh: DataFrame, doc: str = "document_id"
 
 
 def save_chunks(fresh: DataFrame, path: str, doc: str = "document_id", buckets: int = 256) -> None:
-    """Overwrites only the bucket folders that fresh documents fall into, together with the other documents of those."""
+    """Overwrites only the bucket folders that fresh documents fall into, together with the other documents of those.
+
+    The new rows of these buckets are first written beside the table, so no task reads a folder that is being replaced, and
+    rows that a lost executor held can be made again; that copy is deleted at the end."""
     spark = fresh.sparkSession
     bucketed = fresh.withColumn("chunk_id", chunk_id(F.col(doc), F.col("chunk_index"))).withColumn("bucket", F.pmod(F.hash(doc), F.lit(buckets)))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         touched = [r.bucket for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         old = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).join(fresh.select(doc).distinct(), doc, "left_anti")
-        bucketed = old.unionByName(bucketed, allowMissingColumns=True).checkpoint() if spark.sparkContext.getCheckpointDir() else old.unionByName(bucketed, allowMissingColumns=True).persist()
-        bucketed.count()
+        bucketed = old.unionByName(bucketed, allowMissingColumns=True)
+        beside = f"{path.rstrip('/')}__staged"
+        bucketed.write.mode("overwrite").parquet(beside)
+        bucketed = spark.read.schema(bucketed.schema).parquet(beside)
     bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__staged")
+    staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
 
 
 def append_turns(messages: DataFrame, bridge: DataFrame, answers: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +54,11 @@ def touched(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return sessions.join(newest, "id", "left").withColumn("updated_at", F.greatest("updated_at", "__t")).select(*sessions.columns)
 
 
-def events(tokens: Column, done: Column) -> Column:
-    """Server-sent JSON lines of an answer: one per token, then the closing one."""
+def events(tokens: Column, done: Column, error: Column | None = None) -> Column:
+    """Server-sent JSON lines of an answer: one per token, then the closing one, or the error's in its place where there is one."""
     lines = F.transform(tokens, lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("token").alias("type"), t.alias("text")))))
     last = F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("done").alias("type"), done.alias("payload"))))
-    return F.concat(lines, F.array(last))
+    if error is not None:
+        failed = F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("error").alias("type"), error.alias("text"))))
+        last = F.when(error.isNull(), last).otherwise(failed)
+    return F.concat(F.coalesce(lines, F.array().cast("array<string>")), F.array(last))
