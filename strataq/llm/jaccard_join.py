@@ -42,8 +42,8 @@ PIVOTS = 3
 #: Rows of (id, node, block) that are broadcast at most (8 MB); more are met by a shuffle of the texts.
 FEW = 150_000
 #: Signatures that a task combines at a time, and words whose hashes it keeps.
-COMBINE = 1_500_000
-WORDS = 400_000
+COMBINE = 1_000_000
+WORDS = 150_000
 #: Texts sampled for popular shingles, how many of them hold one, and how many are broadcast at most (2 MB).
 SAMPLE, OFTEN, POPULAR = 10_000, 4, 1 << 18
 

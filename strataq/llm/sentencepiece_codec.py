@@ -24,7 +24,7 @@ from .arrow import array_udf, quoted, with_result
 
 MARK = "▁"
 #: A worker's table is emptied at this many distinct chunks; results don't depend on it.
-TABLE_LIMIT = 250_000
+TABLE_LIMIT = 120_000
 
 
 @lru_cache(maxsize=2)

@@ -27,7 +27,7 @@ def store(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, which cuts its lineage; and the path."""
     spark = df.sparkSession
     path = f"{folder(spark)}/strataq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
