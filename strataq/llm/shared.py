@@ -38,8 +38,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def hot_bound(total: int) -> int:
-    """The most rows of a key that isn't hot among ``total`` rows."""
-    return max(LEAST_HOT, -(-total // HOT_KEYS))
+    """The most rows of a key that isn't hot among ``total`` rows: a power of two, so that plans of about equal sizes have
+    equal generated code, which executors compile once."""
+    return 1 << (max(LEAST_HOT, -(-total // HOT_KEYS)) - 1).bit_length()
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], times: str, bound: int) -> DataFrame:
