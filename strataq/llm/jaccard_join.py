@@ -43,7 +43,7 @@ PIVOTS = 3
 FEW = 150_000
 #: Signatures that a task combines at a time, and words whose hashes it keeps.
 COMBINE = 1_000_000
-WORDS = 150_000
+WORDS = 400_000
 #: Texts sampled for popular shingles, how many of them hold one, and how many are broadcast at most (2 MB).
 SAMPLE, OFTEN, POPULAR = 10_000, 4, 1 << 18
 

@@ -35,7 +35,7 @@ STEMS = range(4, 8)
 #: Letters of terms that may be misspelled.
 FUZZY = 5
 WINDOW = 48
-WORDS = 150_000
+WORDS = 300_000
 KINDS = ("exact", "fuzzy", "stem")
 _WORD = re.compile(r"\w+")
 #: Quotation marks; apostrophes only where they don't stand inside a word.
