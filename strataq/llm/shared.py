@@ -56,24 +56,30 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], times: str, bound
     return met.filter("__hot").drop("__hot").unionByName(cold.drop("__hot"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges (lo, hi), and whether every hi has one lo that is no hi itself: stars about the smallest nodes."""
+    ends = edges.select(F.col("hi").alias("x"), F.lit(1).alias("n"), F.lit(False).alias("low")).unionByName(edges.select(F.col("lo").alias("x"), F.lit(0).alias("n"), F.lit(True).alias("low")))
+    nodes = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    row = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if((F.col("n") > 1) | (F.col("low") & (F.col("n") > 0))).alias("open")).first()
+    return row.n, not row.open
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a and b, longs): component is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. ("Connected Components in MapReduce and
-    Beyond") as aggregations and joins until the edges no longer change; each round is stored in the shared folder
-    and the round before removed. With edges as (lo, hi), the large step moves an edge's lower end to that end's own
+    Beyond") as aggregations and joins until only stars about smallest nodes are left; each round is stored in the shared
+    folder and the round before removed. With edges as (lo, hi), the large step moves an edge's lower end to that end's own
     smallest neighbour, the small step ties the lower ends of a node to the smallest of them; a node of many edges is
     met by broadcast (``attach``), and a node that has only one lower end is left out. Nulls and loops are dropped."""
     spark = edges.sparkSession
     ordered = edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     now, path = store(ordered)
-    state = _state(now)
     for _ in range(most_rounds):
-        bound = hot_bound(state[0])
+        total, settled = _settled(now)
+        if settled:
+            break
+        bound = hot_bound(total)
         below = now.select(F.col("hi").alias("lo"), F.col("lo").alias("m"), F.lit(0).alias("n"))
         above = now.select("lo", F.lit(None).cast("long").alias("m"), F.lit(1).alias("n"))
         ends = below.unionByName(above).groupBy("lo").agg(F.min("m").alias("m"), F.sum("n").alias("n"))
@@ -82,13 +88,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         met = attach(large, low.filter("n > 1"), ["hi"], "n", bound)
         small = met.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionByName(low.select(F.col("m").alias("lo"), "hi")).distinct()
-        after, new_path = store(small)
-        new_state = _state(after)
+        now, new_path = store(small)
         remove(spark, path)
-        now, path = after, new_path
-        if new_state == state:
-            break
-        state = new_state
+        path = new_path
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
