@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,15 @@ def with_result(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     return out.select(*[quoted(c) for c in keep], *[F.col(hold)[n].alias(n) for n in names])
 
 
+def release() -> None:
+    """Gives memory that a task freed back to the system: workers live on for other tasks, and the allocator would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # an allocator without it
+        pass
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -65,5 +75,7 @@ def array_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
         for batch in batches:
             for texts in slices(batch):
                 yield work(texts)
+        del work
+        release()
 
     return F.arrow_udf(run, kind)

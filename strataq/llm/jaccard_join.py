@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import quoted, slices
+from .arrow import quoted, release, slices
 from .shared import attach, components, hot_bound, remove, store
 
 #: Shingles of sets that are together in one task, where each set counts as ``SET`` shingles more.
@@ -43,7 +43,7 @@ PIVOTS = 3
 FEW = 150_000
 #: Signatures that a task combines at a time, and words whose hashes it keeps.
 COMBINE = 1_000_000
-WORDS = 400_000
+WORDS = 150_000
 #: Texts sampled for popular shingles, how many of them hold one, and how many are broadcast at most (2 MB).
 SAMPLE, OFTEN, POPULAR = 10_000, 4, 1 << 18
 
@@ -239,6 +239,8 @@ def scan(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFra
                     yield from flush()
                     held = 0
         yield from flush()
+        del shingle
+        release()
 
     return df.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")).mapInArrow(run, SCANNED)
 
@@ -439,6 +441,8 @@ def join_groups(texts: DataFrame, n: int, percent: int) -> DataFrame:
                         if len(s) and digest(s) == (node, check):
                             sets[node, check] = (doc, label, s)
         yield from close()
+        sets.clear()
+        release()
 
     return texts.mapInArrow(run, "a long, b long")
 
