@@ -75,3 +75,37 @@ def test_rechunk_takes_the_documents_own_size_and_overlap(spark):
         want = alone(how, k, size, overlap)
         assert len(want) > 10 and of(fresh, k) == want and of(fresh, "c") == of(chunks, "c")
         assert {(r.chunk_size, r.chunk_overlap, r.chunk_count) for r in after.filter(F.col("id") == k).collect()} == {(size, overlap, len(want))}
+
+
+def test_streamed_turns_keep_pieces_and_errors(spark):
+    from strataq.operators import chat
+    from strataq.operators.embedding import embed
+
+    def pieces(system, prompt):
+        yield "See "
+        yield "[Source 1]"
+        if "tea" in prompt.rsplit("## QUESTION", 1)[1]:
+            raise RuntimeError("model gone")
+
+    v = spark.createDataFrame([("c1", "red fox"), ("c2", "green tea")], "chunk_id string, text string").select("chunk_id", "text", F.lit("d").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("T").alias("doc_title"), embed(F.col("text")).alias("embedding"))
+    q = spark.createDataFrame([(1, "s", "red fox"), (2, "s", "green tea")], "query_id int, session_id string, question string")
+    done = chat.answer(q, v, make=lambda: pieces, streamed=True)
+    rows = {r.query_id: r for r in done.collect()}
+    assert rows[1].pieces == ["See ", "[Source 1]"] and rows[1].answer == "See [Source 1]" and rows[1].error is None and rows[1].was_streamed
+    assert rows[2].pieces == ["See ", "[Source 1]"] and rows[2].error == "model gone"
+    lines = {}
+    for r in chat.stream_events(done).orderBy("query_id", "seq").collect():
+        lines.setdefault(r.query_id, []).append(r.line)
+    assert [len(x) for x in lines.values()] == [3, 3] and '"type":"done"' in lines[1][2] and lines[2][2] == 'data: {"type":"error","text":"model gone"}'
+    assert not any(r.was_streamed for r in chat.answer(q, v).collect())
+
+
+def test_tables_survive_a_write_that_ended_between(spark, tmp_path):
+    root = str(tmp_path)
+    one = spark.createDataFrame([("a",)], "session_id string")
+    jobs.write(one, root, "t")
+    (tmp_path / "t").rename(tmp_path / "t__old")  # the moment between the two renames
+    schema = one.schema
+    assert jobs.stored(spark, root, "t", schema).count() == 1
+    jobs.write(jobs.stored(spark, root, "t", schema).unionByName(one), root, "u")
+    assert jobs.stored(spark, root, "u", schema).count() == 2 and jobs.stored(spark, root, "none", schema).count() == 0
