@@ -232,6 +232,62 @@ def test_token_table_is_emptied_by_entries_too(monkeypatch):
         assert len(trie.counts) <= 101
 
 
+def test_token_scores_try_only_pieces_that_end_there():
+    class Tried(dict):
+        tries = 0
+
+        def get(self, *args):
+            self.tries += 1
+            return super().get(*args)
+
+    word = "internationalization"
+    scores = Tried(token_count.pieces(vocabulary("byte_bpe_50k.tiktoken")))
+    trie = token_count.Trie(scores)
+    scores.tries = 0
+    ending = sum(word[k:end].encode() in scores for end in range(1, len(word) + 1) for k in range(end))
+    assert trie.count(word) == brute_count(word, dict(scores), r"(?s).+")
+    assert scores.tries <= ending
+
+
+def test_token_automaton_and_sweeps_against_plain_counts(monkeypatch):
+    """Nested pieces, ties, NULs, words that begin others, words beyond the trie; tries of any size."""
+    rng = random.Random(9)
+    scores = {bytes([k]): -4.0 for k in range(256)} | {p: -float(rng.randrange(2, 7)) for p in (b"ab", b"aba", b"bab", b"b\0", b"abab", b"\0\0", "é".encode(), "bé".encode(), b"aaaaaaa")}
+    automaton = token_count.Automaton(scores)
+    words = {"".join(rng.choice("aab\0é") for _ in range(rng.randrange(1, 14))) for _ in range(300)} | {"ab" * 40, "ab" * 40 + "a", "a" * 48, "a" * 49}
+    for w in words:
+        b, state = w.encode(), 0
+        for end in range(1, len(b) + 1):
+            state = int(automaton.table[automaton.row[state], b[end - 1]])
+            at, found = int(automaton.first[state]), []
+            while at:
+                found.append((int(automaton.size[at]), float(automaton.gain[at])))
+                at = int(automaton.link[at])
+            assert found == [(end - k, scores[b[k:end]]) for k in range(end) if b[k:end] in scores]
+    want = {w: brute_count(w, scores, r"(?s).+") for w in words}
+    for deep, nodes in ((48, 300_000), (48, 100), (5, 20), (1, 1)):
+        monkeypatch.setattr(token_count, "DEEP", deep)
+        monkeypatch.setattr(token_count, "NODES", nodes)
+        trie = token_count.Trie(automaton)
+        trie.count_all(words)
+        assert trie.counts == want
+
+
+def test_token_counts_do_not_depend_on_the_table(monkeypatch):
+    """Slices that find a full table, and one that alone is more than a table."""
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    scores = token_count.pieces(path)
+    made = []
+    monkeypatch.setattr(token_count, "array_udf", lambda make, kind: made.append(make()))
+    rows = [t for t in texts(5, 40) if not t or len(t) < 400]
+    want = [brute_count(t, scores, r"\S+|\s+") for t in rows]
+    for nodes in (1, 60, 300_000):
+        monkeypatch.setattr(token_count, "NODES", nodes)
+        token_count.counter(path, r"\S+|\s+")
+        assert [made[-1](rows[k : k + 7]).field(0).to_pylist() for k in range(0, len(rows), 7)] == [want[k : k + 7] for k in range(0, len(rows), 7)]
+    assert made[-1]([None, ""]).field(1).to_pylist() == [0, 0] and len(made[-1]([])) == 0
+
+
 def test_outputs_replace_columns_of_their_names(spark):
     df = spark.createDataFrame([(1, "text", "x", "y")], "doc_id long, text string, Predicted string, SCORE string")
     out = toxicity.score_toxicity(df, toxicity.Model(constant=0.25))
