@@ -445,7 +445,10 @@ def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
 
 def format_conversations(df: DataFrame, template: str = TEMPLATE, turns: str = "turns") -> DataFrame:
-    """``df`` with ``formatted`` and ``loss_spans`` (start and end, in code points, of each generation)."""
+    """``df`` with ``formatted`` and ``loss_spans`` (start and end, in code points, of each generation).
+
+    The optimizer copies a deterministic function above an aggregate, as ``conversations`` has, into each use of its result, with
+    an aggregate and a worker for each; so this one is declared not to be deterministic, and runs once."""
     compile_template(template)  # a wrong template fails here, not in a task
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -455,8 +458,8 @@ def format_conversations(df: DataFrame, template: str = TEMPLATE, turns: str = "
             spans = pa.array([[{"start": a, "end": b} for a, b in d[1]] for d in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.string()), spans], ["formatted", "loss_spans"])
 
-    made = F.arrow_udf(run, "struct<formatted:string,loss_spans:array<struct<start:long,end:long>>>")(quoted(turns))
-    return with_result(df, made, ["formatted", "loss_spans"])
+    made = F.arrow_udf(run, "struct<formatted:string,loss_spans:array<struct<start:long,end:long>>>").asNondeterministic()
+    return with_result(df, made(quoted(turns)), ["formatted", "loss_spans"])
 
 
 def _parts(batch: pa.ListArray) -> Iterator[pa.ListArray]:

@@ -56,6 +56,15 @@ def test_chat_columns(spark):
     assert ct.format_conversations(ct.conversations(df.filter("false"))).collect() == []
 
 
+def test_each_conversation_is_formatted_once(spark):
+    """The optimizer once copied the formatting into each use of its result: three workers of a task, three lists of each conversation."""
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    done = ct.format_conversations(ct.conversations(df))
+    back = done.select("conv_id", F.length("formatted"), ct.parse_formatted(F.col("formatted"), F.col("loss_spans")).alias("r"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 def plain_crc(data):
     c = 0
     for b in data:
