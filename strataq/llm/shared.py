@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import release
+
 #: A key of more rows than this, and than a thousandth of all rows, is hot: at most ``HOT_KEYS`` keys are.
 LEAST_HOT, HOT_KEYS = 50, 1000
+#: Edges (16 MB) that one task joins to the end; more take rounds over all tasks, each of which costs the driver ten shuffles.
+TREE = 1 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -64,6 +71,33 @@ def _settled(edges: DataFrame) -> tuple[int, bool]:
     return row.n, not row.open
 
 
+def stars(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (lo, hi) from the smallest node of each connected part to its others. Every root is tied to the smallest root that an
+    edge leads to, until no edge leads to another; roots halve in two rounds."""
+    nodes, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = ends[: len(lo)], ends[len(lo) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    others = root != np.arange(len(nodes))
+    return nodes[root[others]], nodes[others]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all edges (lo, hi) of a task."""
+    table = pa.Table.from_batches(batches, pa.schema([("lo", pa.int64()), ("hi", pa.int64())]))
+    lo, hi = stars(table["lo"].to_numpy(), table["hi"].to_numpy())
+    for at in range(0, len(lo), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(lo[at : at + 100_000]), pa.array(hi[at : at + 100_000])], ["lo", "hi"])
+    del table, lo, hi
+    release()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (columns a and b, longs): component is the smallest node reachable.
 
@@ -71,7 +105,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Beyond") as aggregations and joins until only stars about smallest nodes are left; each round is stored in the shared
     folder and the round before removed. With edges as (lo, hi), the large step moves an edge's lower end to that end's own
     smallest neighbour, the small step ties the lower ends of a node to the smallest of them; a node of many edges is
-    met by broadcast (``attach``), and a node that has only one lower end is left out. Nulls and loops are dropped."""
+    met by broadcast (``attach``), and a node that has only one lower end is left out. As soon as ``TREE`` edges or fewer are
+    left, one task joins them to the end. Nulls and loops are dropped."""
     spark = edges.sparkSession
     ordered = edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     now, path = store(ordered)
@@ -79,6 +114,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         total, settled = _settled(now)
         if settled:
             break
+        if total <= TREE:
+            now, _ = store(now.coalesce(1).mapInArrow(_joined, "lo long, hi long"))
+            remove(spark, path)
+            break
         bound = hot_bound(total)
         below = now.select(F.col("hi").alias("lo"), F.col("lo").alias("m"), F.lit(0).alias("n"))
         above = now.select("lo", F.lit(None).cast("long").alias("m"), F.lit(1).alias("n"))

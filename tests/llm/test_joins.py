@@ -103,6 +103,29 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("tree,tables", [(1 << 20, 2), (100, None), (0, None)])
+def test_components_end_in_one_task(spark, tree, tables, monkeypatch):
+    """Rounds over all tasks, each of many shuffles that the driver holds, once went on for tables that one task joins."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 480)]
+    want, stored, store = parts(500, pairs), [], shared.store
+    monkeypatch.setattr(shared, "TREE", tree, raising=False)
+    monkeypatch.setattr(shared, "store", lambda df: stored.append(1) or store(df))
+    got = sorted((r.node, r.component) for r in shared.components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert got == sorted({(k, want[k]) for p in pairs if p[0] != p[1] for k in p})
+    assert len(stored) == tables if tables else len(stored) > 2
+
+
+def test_stars_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(2, 40)
+        pairs = [tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randrange(0, 50))]
+        want = parts(n, pairs)
+        lo, hi = shared.stars(*np.array(pairs, np.int64).reshape(-1, 2).T)
+        assert sorted(zip(hi.tolist(), lo.tolist())) == sorted({(k, want[k]) for p in pairs for k in p if want[k] != k})
+
+
 @pytest.mark.parametrize("blocks", [(4096, 16384), (7, 9)])
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_embedding_dedup(spark, blocks, kind, monkeypatch):
