@@ -10,6 +10,9 @@ from .. import config
 #: White space as Unicode has it, and the four separators that Python also strips.
 SPACE = r"(?U)[\s\x1C-\x1F]"
 
+#: The same characters, each by itself.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 #: Characters that cleaning replaces.
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
 PUNCTUATION = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " "}
@@ -17,8 +20,8 @@ SOFT_HYPHEN = "\u00ad"
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends. Trimmed, not matched: a pattern would try every gap inside for one at the end."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:

@@ -20,9 +20,10 @@ ABBREVIATIONS = ("Dr.", "Prof.", "Fig.", "Tab.", "Eq.", "et al.", "e.g.", "i.e."
 
 
 def _exploded(df: DataFrame, chunks: Column, text: str, pages: str | None) -> DataFrame:
-    """One row per chunk, with tokens and, where ``pages`` names an array of pages, page_start and page_end."""
+    """One row per chunk, with tokens and, where ``pages`` names an array of pages, page_start and page_end. The outer form with a
+    filter after it: of the inner one the optimizer makes a filter on the array before it, which computes the array again."""
     keep = [c for c in df.columns if c != text]
-    out = df.withColumn("__c", F.explode(chunks)).select(*keep, "__c.*").withColumn("token_count", tx.estimate_tokens(F.col("text")))
+    out = df.withColumn("__c", F.explode_outer(chunks)).filter(F.col("__c").isNotNull()).select(*keep, "__c.*").withColumn("token_count", tx.estimate_tokens(F.col("text")))
     if pages:
         out = out.withColumns({"page_start": page_of(F.col("char_start"), F.col(pages)), "page_end": page_of(F.col("char_end"), F.col(pages))}).drop(pages)
     return out
@@ -114,11 +115,9 @@ def merge_pieces(pieces: Column, size: int, overlap: int) -> Column:
 
     def add(s: Column, p: Column) -> Column:
         n = tx.estimate_tokens(p)
-        full = s.cur.isNotNull() & (s.n + n > size)
-        seed = F.nullif(tail(s.cur), F.lit(""))
-        cur = F.when(full, F.concat_ws(" ", seed, p)).otherwise(F.concat_ws(" ", s.cur, p))
-        count = F.when(full, tx.estimate_tokens(F.coalesce(tail(s.cur), F.lit(""))) + n).otherwise(s.n + n)
-        return F.struct(F.when(full, F.concat(s.out, F.array(s.cur))).otherwise(s.out).alias("out"), cur.alias("cur"), count.alias("n"))
+        closed = let(tail(s.cur), lambda t: F.struct(F.concat(s.out, F.array(s.cur)).alias("out"), F.concat_ws(" ", F.nullif(t, F.lit("")), p).alias("cur"), (tx.estimate_tokens(t) + n).alias("n")))
+        longer = F.struct(s.out.alias("out"), F.concat_ws(" ", s.cur, p).alias("cur"), (s.n + n).alias("n"))
+        return F.when(s.cur.isNotNull() & (s.n + n > size), closed).otherwise(longer)
 
     return F.aggregate(pieces, start, add, lambda s: F.filter(F.when(s.cur.isNull(), s.out).otherwise(F.concat(s.out, F.array(s.cur))), lambda c: tx.strip(c) != ""))
 
