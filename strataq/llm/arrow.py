@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text handled at a time inside one Arrow batch; bounds a worker's memory.
-SLICE_CHARS = 500_000
-
+from ..functions.arrow import SLICE_CHARS, release, runs, slices  # noqa: F401  also imported from here
 
 def with_result(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     """``df`` plus the fields ``names`` of the struct column ``result``; a column of ``df`` that has one
@@ -25,15 +20,6 @@ def with_result(df: DataFrame, result: Column, names: list[str]) -> DataFrame:
     return out.select(*[quoted(c) for c in keep], *[F.col(hold)[n].alias(n) for n in names])
 
 
-def release() -> None:
-    """Gives memory that a task freed back to the system: workers live on for other tasks, and the allocator would keep it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # an allocator without it
-        pass
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}
@@ -47,24 +33,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str | None]]:
-    """Consecutive runs of a string array as Python strings, each of about ``most`` characters."""
-    for start, end in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most):
-        yield texts.slice(start, end - start).to_pylist()
-
-
-def runs(lengths: np.ndarray, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """(start, end) of consecutive runs of lengths that sum to ``most`` at most; a longer one is a run of its own."""
-    start, total = 0, len(lengths)
-    while start < total:
-        end, size = start, 0
-        while end < total and (end == start or size + lengths[end] <= most):
-            size += int(lengths[end])
-            end += 1
-        yield start, end
-        start = end
-
-
 def array_udf(make: Callable[[], Callable[[list], pa.Array]], kind: str):
     """An Arrow UDF over one string column. ``make`` runs once in each task and returns the function that
     maps a list of texts to an Arrow array of as many values; batches are cut into bounded slices, and each slice's result

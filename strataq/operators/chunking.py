@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..functions.arrow import lengths, release, runs, slices
 from .pages import page_of
 
 CHUNK = "struct<chunk_index:int,text:string,char_start:int,char_end:int>"
@@ -198,22 +200,31 @@ class RecursiveSplitter:
             close()
         return out
 
-    def placed(self, text: str, exact: bool = False) -> list[dict]:
+    def placed(self, text: str, exact: bool = False) -> list[tuple[str, int, int]]:
         """Chunks with offsets: by search from a cursor, or (``exact``) those that were carried along."""
         out, cursor = [], 0
-        for k, (c, begin, end) in enumerate(self.chunks(text)):
+        for c, begin, end in self.chunks(text):
             if not exact:
                 begin = text.find(c, cursor)
                 begin = cursor if begin < 0 else begin
                 end = begin + len(c)
                 cursor = max(cursor, begin + 1)
-            out.append({"chunk_index": k, "text": c.strip(), "char_start": begin, "char_end": end})
+            out.append((c.strip(), begin, end))
         return out
 
 
 _WORD = re.compile(r"\S+")
 
 
+def chunk_lists(rows: list[list[tuple[str, int, int]]]) -> pa.Array:
+    """An array of lists of ``CHUNK`` from the (text, start, end) of each row's chunks."""
+    offsets = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
+    flat = [c for r in rows for c in r]
+    numbers = [np.array([k for r in rows for k in range(len(r))], np.int32), *(np.fromiter((c[j] for c in flat), np.int32, len(flat)) for j in (1, 2))]
+    fields = [pa.array(numbers[0]), pa.array([c[0] for c in flat], pa.string()), pa.array(numbers[1]), pa.array(numbers[2])]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["chunk_index", "text", "char_start", "char_end"]))
+
+
 def recursive(df: DataFrame, text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP, separators: tuple[str, ...] = config.SEPARATORS, pages: str | None = None, engine: str = "arrow", offsets: str = "search") -> DataFrame:
     """Chunks of separator-bounded pieces. ``engine`` is ``arrow`` (an Arrow UDF, several times faster for this order-dependent
     fold) or ``native`` (higher-order functions); both give the same rows. ``offsets`` is ``search`` (a cursor search, which misses
@@ -227,17 +238,21 @@ def recursive(df: DataFrame, text: str = "text", size: int | Column = config.CHU
         pieces = recursive_pieces(F.col(text), size, separators)
         rows = df.withColumn("__m", merge_pieces(pieces, size, overlap)).withColumn("__made", place_chunks(F.col(text), F.col("__m"))).drop("__m")
         return _exploded(rows, F.col("__made"), text, pages).drop("__made")
-    kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
+    exact = offsets == "exact"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         splitter = RecursiveSplitter(size, overlap, tuple(separators))
         for batch in batches:
-            yield pa.array([splitter.placed(t or "", offsets == "exact") for t in batch.to_pylist()], kind)
+            for texts in slices(batch):  # each slice's chunks leave the worker before the next are made
+                yield chunk_lists([splitter.placed(t or "", exact) for t in texts])
+        release()
 
     def run_own(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
-            rows = zip(*(c.to_pylist() for c in columns))
-            yield pa.array([RecursiveSplitter(n, o, tuple(separators)).placed(t or "", offsets == "exact") for t, n, o in rows], kind)
+            for start, end in runs(lengths(columns[0])):
+                rows = zip(*(c.slice(start, end - start).to_pylist() for c in columns))
+                yield chunk_lists([RecursiveSplitter(n, o, tuple(separators)).placed(t or "", exact) for t, n, o in rows])
+        release()
 
     made = F.arrow_udf(run_own, f"array<{CHUNK}>")(F.col(text), F.lit(size), overlap) if own else F.arrow_udf(run, f"array<{CHUNK}>")(F.col(text))
     return _exploded(df.withColumn("__made", made), F.col("__made"), text, pages).drop("__made")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strataq.functions import text as tx
@@ -26,3 +27,18 @@ def test_strip_takes_what_python_takes(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", tx.strip(F.col("t")).alias("s")).collect()
     assert sorted(tx.SPACES) == blanks and all(r.s == texts[r.id].strip() for r in got)
     assert spark.range(1).select(tx.strip(F.lit(None).cast("string")).alias("s")).first().s is None
+
+
+def test_recursive_chunks_are_made_once_and_in_slices(spark, monkeypatch):
+    """One Python step, whose worker holds the chunks of a slice, not of a batch."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert plan(chunking.recursive(df, size=40, overlap=4)).count("ArrowEvalPython") == 1
+    held = []
+    whole = chunking.chunk_lists
+    monkeypatch.setattr(chunking, "chunk_lists", lambda rows: held.append(len(rows)) or whole(rows))
+    made = {}
+    monkeypatch.setattr(chunking.F, "arrow_udf", lambda f, kind: made.setdefault("f", f) and (lambda *c: F.lit(None).cast(kind)))
+    chunking.recursive(df, size=40, overlap=4)
+    texts = pa.array(["a word and " * 20_000] * 12 + [None, ""])
+    out = pa.concat_arrays(list(made["f"](iter([texts]))))
+    assert len(out) == 14 and max(held) <= 4 and out[13].as_py() == [] and out[0].as_py() == out[11].as_py() and out[0].as_py()[1]["chunk_index"] == 1
