@@ -17,6 +17,8 @@ from .vectors import batch_topk
 
 #: A generator: (system, prompt) -> answer, whole or in pieces. The default cites the first passage, so that a turn runs offline.
 Generator = Callable[[str, str], str | Iterable[str]]
+#: Hits up to this number are sent to where the chunks are; more are joined by a shuffle.
+BROADCAST_HITS = 1 << 20
 NO_ANSWER = "The indexed documents hold nothing that bears on this question."
 
 
@@ -73,11 +75,17 @@ def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None
         raise ValueError("k must be 1 or more")
     asked = questions.withColumn("query", embed(F.col("question"), embedder, "query"))
     hits = batch_topk(vectors, asked.select("query_id", "query"), k)
+    if questions.count() * k <= BROADCAST_HITS:
+        hits = F.broadcast(hits)  # so that texts stay where they are
     candidates = hits.join(vectors.select("chunk_id", "text", "document_id", "chunk_index", "page_start", "page_end", "doc_title"), "chunk_id")
-    ranked = rr.rerank(candidates, take)
+    # all that follows comes from one row per question: each further use of the candidates would search and embed again
+    ranked = pr.shown(rr.rerank(candidates, 2**31 - 1))
     ranked = ranked.withColumn("header", pr.header(F.col("n"), F.col("doc_title"), F.col("page_start"), F.col("page_end"), F.col("rerank_score")))
-    context = pr.context_block(ranked)
-    rows = questions.join(context, "query_id", "left")
+    passage = F.when((F.col("n") <= take) & F.col("shown").isNotNull(), F.struct("n", pr.passage().alias("b")))
+    candidate = F.struct("rank", "chunk_id", "chunk_index", "page_start", "page_end", "doc_title", F.col("score").alias("retrieval_score"), "rerank_score", "n")
+    found = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(passage)).alias("__p"), F.sort_array(F.collect_list(candidate)).alias("__c"))
+    found = found.select("query_id", F.when(F.size("__p") > 0, F.array_join(F.transform("__p", lambda x: x.b), "\n\n")).alias("context"), "__c")
+    rows = questions.join(found, "query_id", "left")
     if messages is not None:
         rows = rows.join(pr.history_block(messages), "session_id", "left")
     else:
@@ -90,17 +98,23 @@ def answer(questions: DataFrame, vectors: DataFrame, messages: DataFrame | None
         rows = rows.withColumn("answer", F.array_join("pieces", ""))
     else:
         rows = rows.withColumn("answer", F.when(F.col("context").isNull(), NO_ANSWER).otherwise(generate(F.col("prompt"), make, pr.system_prompt(extra))))
-    answers = rows.select("query_id", "answer")
-    marked = pr.cited(ranked, answers)
-    scores = pr.retrieval_scores(candidates.select("query_id", "chunk_id", "chunk_index", "page_start", "doc_title", F.col("score").alias("retrieval_score"), "rank"), marked)
-    record = F.struct("rank", "chunk_id", "chunk_index", "page_start", "doc_title", "retrieval_score", "rerank_score", "citation_n", "was_cited")
-    lists = scores.groupBy("query_id").agg(F.sort_array(F.collect_list(record)).alias("retrieval_scores"))
-    source = F.struct("n", "chunk_id", "doc_title", "page_start", "page_end", "rerank_score", "was_cited")
-    sources = marked.groupBy("query_id").agg(F.sort_array(F.collect_list(source)).alias("sources"))
-    out = rows.join(lists, "query_id", "left").join(sources, "query_id", "left")
+    rows = rows.withColumn("citations", pr.citations(F.col("answer")))
+
+    def cited(c: Column) -> Column:
+        return F.coalesce(F.array_contains("citations", pr.label(c.n)), F.lit(False))
+
+    def record(c: Column) -> Column:
+        top = c.n <= take
+        new = (F.round(F.when(top, c.rerank_score).otherwise(0.0), 4).alias("rerank_score"), F.when(top, c.n).alias("citation_n"), (top & cited(c)).alias("was_cited"))
+        return F.struct(*(c[f].alias(f) for f in ("rank", "chunk_id", "chunk_index", "page_start", "doc_title", "retrieval_score")), *new)
+
+    def source(c: Column) -> Column:
+        return F.struct(*(c[f].alias(f) for f in ("n", "chunk_id", "doc_title", "page_start", "page_end", "rerank_score")), cited(c).alias("was_cited"))
+
+    out = rows.withColumns({"retrieval_scores": F.transform("__c", record), "sources": F.sort_array(F.transform(F.filter("__c", lambda c: c.n <= take), source))}).drop("__c")
     used = F.transform(F.filter("sources", lambda s: s.was_cited), lambda s: s.chunk_id)
     return out.withColumns({
-        "citations": pr.citations(F.col("answer")), "cited_chunks": F.coalesce(used, F.array().cast("array<string>")), "prompt_tokens": F.floor(F.length("prompt") / 4).cast("int"),
+        "cited_chunks": F.coalesce(used, F.array().cast("array<string>")), "prompt_tokens": F.floor(F.length("prompt") / 4).cast("int"),
         "completion_tokens": F.floor(F.length("answer") / 4).cast("int"), "was_streamed": F.lit(streamed),
     }).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
 

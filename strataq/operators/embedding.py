@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.arrow import lengths, release, runs
 
 
 class Embedder(Protocol):
@@ -28,17 +29,21 @@ class HashEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str], task: str = "document") -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts):
-            words = text.lower().split()
-            for f in [*words, *(a + " " + b for a, b in zip(words, words[1:]))]:
-                h = zlib.crc32(f.encode())
-                row[h % self.dim] += 1.0 if h >> 31 else -1.0
-            size = np.sqrt((row * row).sum())
-            if size:
-                row /= size
+        from zlib import crc32
+
+        cells: list[int] = []
+        counts = []
+        for text in texts:
+            words = " ".join(text.lower().split()).encode().split()  # no word has ASCII white space left, and no other byte is cut at
+            hashes = [*map(crc32, words)]
+            hashes += map(crc32, [b" " + w for w in words[1:]], hashes[: max(0, len(words) - 1)])  # a pair goes on from its first word
+            cells += hashes
+            counts.append(len(hashes))
+        h = np.array(cells, np.int64)
+        at = h % self.dim + np.repeat(np.arange(len(texts)) * self.dim, counts)
+        out = np.bincount(at, np.where(h >> 31, 1.0, -1.0), len(texts) * self.dim).astype(np.float32).reshape(len(texts), self.dim)
+        size = np.sqrt((out * out).sum(1))
+        out /= np.where(size > 0, size, np.float32(1))[:, None]
         return out
 
 
@@ -48,12 +53,12 @@ def embed(text: Column, make: Callable[[], Embedder] = HashEmbedder, task: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for column in batches:
-            parts = []
-            for at in range(0, len(column), batch):
-                vectors = model.embed([t or "" for t in column.slice(at, batch).to_pylist()], task)
-                offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
-                parts.append(pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel(), pa.float32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+            for first, last in runs(lengths(column)):  # each part's vectors leave the worker before the next are made
+                for at in range(first, last, batch):
+                    vectors = model.embed([t or "" for t in column.slice(at, min(batch, last - at)).to_pylist()], task)
+                    offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
+                    yield pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel(), pa.float32()))
+        release()
 
     return F.arrow_udf(run, "array<float>")(text)
 

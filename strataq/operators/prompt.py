@@ -43,8 +43,13 @@ def source_label(title: Column, start: Column, end: Column) -> Column:
 
 
 def budget(rows: DataFrame, query: str = "query_id", rank: str = "n", text: str = "text", most: int = config.CONTEXT_TOKENS) -> DataFrame:
-    """The rows that fit a query's token budget, with ``shown``: whole texts up to the first that doesn't fit, which is cut if
-    at least 200 characters of it fit; then none. A text costs a token to four characters and 20 more."""
+    """The rows that fit a query's token budget, with ``shown``."""
+    return shown(rows, query, rank, text, most).filter("shown is not null")
+
+
+def shown(rows: DataFrame, query: str = "query_id", rank: str = "n", text: str = "text", most: int = config.CONTEXT_TOKENS) -> DataFrame:
+    """``rows`` with ``shown``, what fits a query's token budget: whole texts up to the first that doesn't fit, which is cut if
+    at least 200 characters of it fit; then null. A text costs a token to four characters and 20 more."""
     w = Window.partitionBy(query)
     cost = F.floor(F.length(text) / 4) + config.BLOCK_TOKENS
     used = F.coalesce(F.sum("__cost").over(w.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -55,14 +60,18 @@ def budget(rows: DataFrame, query: str = "query_id", rank: str = "n", text: str
     whole = F.col("__first").isNull() | (F.col(rank) < F.col("__first"))
     cut = (F.col(rank) == F.col("__first")) & (left >= config.LEAST_CUT_CHARS)
     shown = F.when(whole, F.col(text)).when(cut, F.concat(F.substring(F.col(text), F.lit(1), left), F.lit(CUT_NOTE)))
-    return rows.withColumn("shown", shown).filter("shown is not null").drop("__cost", "__used", "__first")
+    return rows.withColumn("shown", shown).drop("__cost", "__used", "__first")
+
+
+def passage() -> Column:
+    """A framed passage of ``header`` and ``shown``."""
+    return F.concat(F.lit(RULE + "\n"), F.col("header"), F.lit("\n" + RULE + "\n"), F.col("shown"))
 
 
 def context_block(rows: DataFrame, query: str = "query_id", rank: str = "n", text: str = "text", most: int = config.CONTEXT_TOKENS) -> DataFrame:
     """(query, context): framed passages, with a blank line between. Needs ``header``."""
     fit = budget(rows, query, rank, text, most)
-    block = F.concat(F.lit(RULE + "\n"), F.col("header"), F.lit("\n" + RULE + "\n"), F.col("shown"))
-    lists = fit.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("n"), block.alias("b")))).alias("l"))
+    lists = fit.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("n"), passage().alias("b")))).alias("l"))
     return lists.select(query, F.array_join(F.transform("l", lambda x: x.b), "\n\n").alias("context"))
 
 

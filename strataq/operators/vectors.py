@@ -150,14 +150,15 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_
                     at = np.flatnonzero(sizes == n)
                     if len(at):
                         flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
-                        best[n].add(flat, b.column(0).take(pa.array(at)).to_pylist(), block)
+                        fine = ~np.isnan(flat).any(1)  # a null is NaN here; as a filter before, this would embed a second time
+                        if fine.any():
+                            best[n].add(flat[fine], b.column(0).take(pa.array(at[fine])).to_pylist(), block)
             for n, top in best.items():
                 ids = held.value[n][0]
                 found = [(ids[j], name, c) for j in range(len(ids)) for name, c in zip(top.keys[j], top.cos[j].tolist())]
                 yield pa.RecordBatch.from_pydict({"q": pa.array([f[0] for f in found], exact[1]), "key": pa.array([f[1] for f in found], exact[0]), "cos": pa.array([f[2] for f in found], pa.float64())})
 
-        rows_of = vectors.filter(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x))).select(key, embedding)
-        parts.append(rows_of.mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, cos double"))
+        parts.append(vectors.select(key, embedding).mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, cos double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

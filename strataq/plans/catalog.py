@@ -571,7 +571,7 @@ def event_windows(spark, d):
 def chat_turns(spark, d):
     from ..operators.embedding import HashEmbedder, embed
 
-    chunks = chunking.fixed(_docs(spark, d).select(F.col("doc_id").alias("document_id"), "source", "text"), size=SIZE, overlap=OVERLAP)
+    chunks = chunking.fixed(_docs(spark, d).select(F.col("doc_id").alias("document_id"), "source", "text"), size=SIZE, overlap=OVERLAP, offsets=False)
     v = chunks.select(chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "text", "document_id", "chunk_index", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("source").alias("doc_title"), embed(F.col("text"), lambda: HashEmbedder(64)).alias("embedding"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("session_id"), F.col("text").alias("question"))
     out = chat.answer(asked, v, embedder=lambda: HashEmbedder(64))

@@ -42,3 +42,31 @@ def test_recursive_chunks_are_made_once_and_in_slices(spark, monkeypatch):
     texts = pa.array(["a word and " * 20_000] * 12 + [None, ""])
     out = pa.concat_arrays(list(made["f"](iter([texts]))))
     assert len(out) == 14 and max(held) <= 4 and out[13].as_py() == [] and out[0].as_py() == out[11].as_py() and out[0].as_py()[1]["chunk_index"] == 1
+
+
+def test_a_turn_searches_and_embeds_once(spark):
+    """Every further use of the candidates searched all vectors again, and a filter on them embedded twice in each search."""
+    from strataq.plans import catalog
+
+    for name in ("chat_turns", "chat_streamed"):
+        p = plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert p.count("MapInArrow") == 1 and p.count("ArrowEvalPython") == 2, name  # the chunks' vectors and the answers
+
+
+def test_hashed_vectors_of_a_batch_are_those_of_a_text(spark):
+    import zlib
+
+    import numpy as np
+
+    from strataq.operators.embedding import HashEmbedder
+
+    texts = ["", " ", "one", "a\x1cb \xa0 c\x85d e", "İ ß é　字 é", "x " * 9000, "ab cd " * 3000]
+    for dim in (1, 64, 768):
+        got = HashEmbedder(dim).embed(texts)
+        for row, text in zip(got, texts):
+            words, want = text.lower().split(), np.zeros(dim, np.float32)
+            for f in [*words, *(a + " " + b for a, b in zip(words, words[1:]))]:
+                h = zlib.crc32(f.encode())
+                want[h % dim] += 1.0 if h >> 31 else -1.0
+            size = np.sqrt((want * want).sum())
+            assert np.array_equal(row, want / size if size else want)
