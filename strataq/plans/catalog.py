@@ -518,10 +518,9 @@ def chat_streamed(spark, d):
     v = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("source").alias("doc_title"), embed(F.col("text"), lambda: HashEmbedder(64)).alias("embedding"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("session_id"), F.col("text").alias("question"))
     lines = chat.stream_events(chat.answer(asked, v, embedder=lambda: HashEmbedder(64), streamed=True))
-    tokens = lines.filter(F.contains("line", F.lit('"type":"token"')))
-    last = lines.groupBy("query_id").agg(F.max_by("line", "seq").alias("l"), F.max("seq").alias("n_tokens"))
-    said = tokens.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.get_json_object(F.substring("line", 7, 1 << 30), "$.text").alias("t")))).alias("p"))
-    return said.select("query_id", F.array_join(F.transform("p", lambda x: x.t), "").alias("answer")).join(last.select("query_id", "n_tokens", F.contains("l", F.lit('"type":"done"')).alias("done")), "query_id")
+    token = F.when(F.contains("line", F.lit('"type":"token"')), F.struct("seq", F.get_json_object(F.substring("line", 7, 1 << 30), "$.text").alias("t")))
+    turns = lines.groupBy("query_id").agg(F.sort_array(F.collect_list(token)).alias("p"), F.max_by("line", "seq").alias("l"), F.max("seq").alias("n_tokens")).filter(F.size("p") > 0)
+    return turns.select("query_id", F.array_join(F.transform("p", lambda x: x.t), "").alias("answer"), "n_tokens", F.contains("l", F.lit('"type":"done"')).alias("done"))
 
 
 def token_bars(spark, d):
