@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .. import config
 from ..functions import text as tx
@@ -318,23 +320,107 @@ def merge_small_groups(rows: DataFrame, doc: str, order: str, group: str = "grou
 
 
 def semantic(df: DataFrame, embed, doc: str, text: str = "text", threshold: float = config.BREAKPOINT, pages: str | None = None) -> DataFrame:
-    """Groups of sentences whose neighbours are alike. ``embed`` maps a text column to a column of vectors."""
-    rows = df.select(doc, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).withColumn("embedding", embed(F.col("sentence")))
-    rows = rows.withColumn("token_count", tx.estimate_tokens(F.col("sentence")))
-    rows = merge_small_groups(breakpoint_groups(rows, doc, "pos", threshold=threshold), doc, "pos")
-    groups = rows.groupBy(doc, "merged_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    parts = groups.select(doc, F.struct("merged_id", F.element_at("s", 1)["sentence"].alias("first"), F.array_join(F.transform("s", lambda x: x.sentence), " ").alias("body")).alias("g"))
-    lists = parts.groupBy(doc).agg(F.sort_array(F.collect_list("g")).alias("__g"))
-    joined = df.join(lists, doc)
-    start = F.struct(F.array().cast(f"array<{CHUNK}>").alias("out"), F.lit(0).alias("at"))
-
-    def add(s: Column, g: Column) -> Column:
-        found = F.call_function("locate", g["first"], F.col(text), s.at + 1) - 1
-        begin = F.when(found >= 0, found).otherwise(s.at)
-        one = F.struct(F.size(s.out).alias("chunk_index"), tx.strip(g.body).alias("text"), begin.cast("int").alias("char_start"), (begin + F.length(g.body)).cast("int").alias("char_end"))
-        return F.struct(F.concat(s.out, F.array(one)).cast(f"array<{CHUNK}>").alias("out"), F.greatest(s.at, begin + 1).cast("int").alias("at"))
+    """Groups of sentences whose neighbours are alike. ``embed`` maps a text column to a column of vectors.
+
+    Nothing is shuffled: a row's sentences stay one after the other, its other columns go with the first of them, and vectors are
+    compared where they come from the model, so that no more than a part of a batch is held (with the sentences of one row)."""
+    held = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(held.alias("__row"), F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    rows = rows.select(F.when(F.col("pos") == 0, F.col("__row")).alias("__row"), "pos", "sentence").withColumn("embedding", embed(F.col("sentence")))
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, said, breaks, last = None, [], [], None
+
+        def made(heads: list, lists: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(heads), chunk_lists(lists)], ["__row", "__made"])
+
+        def close() -> list[tuple[str, int, int]]:
+            return place_groups(row.field(place)[0].as_py() or "", merged_groups(said, breaks))
+
+        for b in batches:
+            for at in range(0, b.num_rows, SENTENCES):
+                part = b.slice(at, SENTENCES)
+                first = part.column(1).to_numpy() == 0
+                sims, last = neighbour_cosines(part.column(3), last)
+                new = sims < threshold
+                heads, lists = [], []
+                for k, sentence in enumerate(part.column(2).to_pylist()):
+                    if first[k]:
+                        if row is not None:
+                            lists.append(close())
+                            heads.append(row)
+                        row, said, breaks = part.column(0).slice(k, 1), [], []
+                    said.append(sentence)
+                    breaks.append(bool(new[k]) and not first[k])
+                if heads:
+                    yield made(heads, lists)
+            if row is not None:
+                row = row.take(pa.array([0]))  # a copy, so that the batch can go
+        if row is not None:
+            yield made([row], [close()])
+        release()
 
-    return _exploded(joined.withColumn("__made", F.aggregate("__g", start, add, lambda s: s.out)).drop("__g"), F.col("__made"), text, pages).drop("__made")
+    kind = StructType([StructField("__row", df.schema), StructField("__made", ArrayType(StructType([StructField("chunk_index", IntegerType()), StructField("text", StringType()), StructField("char_start", IntegerType()), StructField("char_end", IntegerType())])))])
+    out = rows.mapInArrow(run, kind).select("__row.*", "__made")
+    return _exploded(out, F.col("__made"), text, pages).drop("__made")
+
+
+#: Sentences whose vectors are compared at a time.
+SENTENCES = 1024
+
+
+def neighbour_cosines(vectors: pa.Array, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """``cosine`` of each vector with the one before (of the first with ``last``), and the last vector. NaN where one is missing or
+    has nulls, which is below no threshold. Sums run from the first to the last value, as the column expression's do."""
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    n = int(sizes[0]) if len(sizes) else 0
+    if n > 0 and (sizes == n).all() and (last is None or len(last) == n):
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        before = np.concatenate([np.full((1, n), np.nan) if last is None else last[None], x[:-1]])
+        dot, size = np.cumsum(before * x, 1)[:, -1], np.sqrt(np.cumsum(x * x, 1)[:, -1])
+        size = size * np.concatenate([np.sqrt(np.cumsum(before[:1] * before[:1], 1)[:, -1]), size[:-1]])
+        return np.where(size == 0, 0.0, dot / np.where(size == 0, 1.0, size)), x[-1].copy()
+    out = np.full(len(vectors), np.nan)
+    for k, v in enumerate(vectors.to_pylist()):
+        x = None if v is None else np.array([np.nan if e is None else e for e in v], np.float64)
+        if x is not None and last is not None:
+            m = min(len(x), len(last))
+            size = math.sqrt(_summed(last * last)) * math.sqrt(_summed(x * x))
+            out[k] = 0.0 if size == 0 else _summed(last[:m] * x[:m]) / size
+        last = x
+    return out, last
+
+
+def _summed(x: np.ndarray) -> float:
+    return float(np.cumsum(x)[-1]) if len(x) else 0.0
+
+
+def merged_groups(said: list[str], breaks: list[bool], least: int = config.SMALL_GROUP_TOKENS) -> list[list[str]]:
+    """Sentences in groups that begin at ``breaks``; a group of fewer tokens joins the one before, the first never does."""
+    groups: list[list[str]] = []
+    for s, new in zip(said, breaks):
+        if new or not groups:
+            groups.append([])
+        groups[-1].append(s)
+    merged = groups[:1]
+    for g in groups[1:]:
+        if sum(RecursiveSplitter.tokens(s) for s in g) >= least:
+            merged.append(g)
+        else:
+            merged[-1] += g
+    return merged
+
+
+def place_groups(text: str, groups: list[list[str]]) -> list[tuple[str, int, int]]:
+    """Joined groups with offsets: a search for the first sentence from a cursor that moves one past each start; a miss starts at it."""
+    out, at = [], 0
+    for g in groups:
+        body, begin = " ".join(g), text.find(g[0], at)
+        begin = at if begin < 0 else begin
+        out.append((body.strip(), begin, begin + len(body)))
+        at = max(at, begin + 1)
+    return out
 
 
 def by_strategy(df: DataFrame, embed, doc: str, strategy: str = "chunk_strategy", text: str = "text", size: int | Column = config.CHUNK_SIZE, overlap: int | Column = config.CHUNK_OVERLAP) -> DataFrame:

@@ -70,3 +70,26 @@ def test_hashed_vectors_of_a_batch_are_those_of_a_text(spark):
                 want[h % dim] += 1.0 if h >> 31 else -1.0
             size = np.sqrt((want * want).sum())
             assert np.array_equal(row, want / size if size else want)
+
+
+def test_semantic_chunks_shuffle_nothing(spark):
+    """Vectors of sentences are many times as long as the text; rows with equal keys stay apart, and missing vectors break nothing."""
+    from strataq.operators.embedding import HashEmbedder, embed
+
+    words = [f"The {a} of the {b} was seen again here. " for a in ("fox", "tea", "sea", "ship") for b in ("moon", "hill", "king")]
+    rng = random.Random(5)
+    rows = [(k % 7, "".join(rng.choice(words) for _ in range(rng.choice([0, 1, 40, 700]))), None if k % 2 else "s") for k in range(25)] + [(3, None, "s"), (3, "short", "s")]
+    df = spark.createDataFrame(rows, "id int, text string, source string").coalesce(1)
+    out = chunking.semantic(df, lambda c: embed(c, lambda: HashEmbedder(16)), "id", threshold=0.3)
+    assert "Exchange" not in plan(out) and out.columns == ["id", "source", "chunk_index", "text", "char_start", "char_end", "token_count"]
+    got = [(r.id, r.source, r.chunk_index, r.text) for r in out.collect()]
+    want = []
+    for k, text, source in rows:
+        one_row = spark.createDataFrame([(text,)], "text string").select(chunking.sentences(F.col("text")).alias("s")).first().s or []
+        v = HashEmbedder(16).embed(one_row).astype(float)
+        breaks = [i > 0 and v[i] @ v[i - 1] < 0.3 for i in range(len(v))]
+        want += [(k, source, i, " ".join(g)) for i, g in enumerate(chunking.merged_groups(one_row, breaks)) if one_row]
+    assert got == want and len(got) > 20
+    mixed = pa.array([[1.0, 0.0], None, [0.0, 1.0], [0.0, 2.0, 5.0], [0.0, 0.0, 0.0], [None, 1.0]], pa.list_(pa.float32()))
+    sims, last = chunking.neighbour_cosines(mixed, None)
+    assert [round(x, 6) if x == x else None for x in sims.tolist()] == [None, None, None, round(2 / 29**0.5, 6), 0.0, None] and len(last) == 2
