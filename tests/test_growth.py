@@ -93,3 +93,11 @@ def test_semantic_chunks_shuffle_nothing(spark):
     mixed = pa.array([[1.0, 0.0], None, [0.0, 1.0], [0.0, 2.0, 5.0], [0.0, 0.0, 0.0], [None, 1.0]], pa.list_(pa.float32()))
     sims, last = chunking.neighbour_cosines(mixed, None)
     assert [round(x, 6) if x == x else None for x in sims.tolist()] == [None, None, None, round(2 / 29**0.5, 6), 0.0, None] and len(last) == 2
+
+
+def test_each_strategy_runs_once_where_the_rows_are(spark):
+    from strataq.operators.embedding import embed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.element_at(F.array(F.lit("fixed"), F.lit("semantic"), F.lit("recursive")), (F.col("doc_id") % 3 + 1).cast("int")).alias("chunk_strategy"))
+    p = plan(chunking.by_strategy(docs, embed, "doc_id", size=40, overlap=4))
+    assert "Exchange" not in p and p.count("ArrowEvalPython") == 2  # vectors of sentences, recursive chunks
